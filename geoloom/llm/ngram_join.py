@@ -12,9 +12,11 @@ Which tokens are frequent decides the cost, never the result: they are those tha
 hold, and of these the MOST_FREQUENT commonest at most, a table of at most 2 MB that is broadcast.
 
 Equal sets are one class and compared once.  Signature groups of up to SMALL classes give their pairs; larger ones
-only a star around one member.  Links of the first round join most of a group; the second round compares, in
-blocks, only members whose components still differ, behind an exact bound on the symmetric difference (parity
-bitmaps), so no link between different texts is lost and no group is expanded into all its pairs.
+only a star around one member.  Links of the first round join most of a group.  The second round looks, in blocks,
+only at members whose components still differ: an exact bound on the symmetric difference (parity bitmaps) ties
+those that may link into families, as a forest; then each set goes to its family once, the family's overlaps are
+counted as matrix products, and a forest of true links comes out.  So every two members of a group that may link
+are compared, no link between different texts is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ SMALL = 16
 MOST_FREQUENT = 1 << 18
 #: A signature whose tokens have more postings than this is split into salted parts, each with its own star.
 SALT_ABOVE = 20_000
-#: Members of a block in the second round.
-BLOCK = 2048
+#: Members of a block of signature groups, and of families, in the second round; columns of a block's matrix.
+BLOCK, FAMILY_BLOCK, COLUMNS = 2048, 1024, 4096
 #: Candidate documents up to this number (8 MB of ids) are picked by broadcast, beyond it by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -322,19 +324,42 @@ def _tokens(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Da
     return materialize(picked.mapInArrow(make, "cls long, tokens binary").dropDuplicates(["cls"]), "tokens")
 
 
-def _apart(members: DataFrame, t: int) -> DataFrame:
-    """Pairs of one signature group whose components differ and whose bitmaps allow a link, block against block."""
+def _blocks(members: DataFrame, key: str, block: int, columns: list[str]) -> DataFrame:
+    """members of each key cut by hash into blocks, once for every two blocks; side: 0 first, 2 second, 1 both."""
+    dealt = members.withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
+    return dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cls", "component", *columns).groupBy(key, "i", "j")
 
-    def load(table: pa.Table):
-        cls, label, n = (table.column(c).to_numpy() for c in ("cls", "component", "n"))
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
-        return cls, label, n, raw
+
+class _Forest:
+    """Joins rows that hit each other; keeps one edge for each two components joined."""
+
+    def __init__(self, cls: np.ndarray, label: np.ndarray):
+        self.cls, self.component = cls, np.unique(label, return_inverse=True)[1]
+        self.edges: list[np.ndarray] = []
+
+    def join(self, i: int, hit: np.ndarray) -> None:
+        hit = hit[self.component[hit] != self.component[i]]
+        if len(hit):
+            other, first = np.unique(self.component[hit], return_index=True)
+            self.edges.append(np.stack([np.full(len(first), self.cls[i]), self.cls[hit[first]]], 1))
+            self.component[np.isin(self.component, other)] = self.component[i]
+
+    def table(self) -> pa.Table:
+        e = np.concatenate(self.edges) if self.edges else np.zeros((0, 2), np.int64)
+        return pa.table({"a": e.min(1) if len(e) else e[:, 0], "b": e.max(1) if len(e) else e[:, 1]})
+
+
+def _apart(members: DataFrame, t: int) -> DataFrame:
+    """A forest over the members of a signature group whose components differ and whose bitmaps allow a link."""
 
     def compare(table: pa.Table) -> pa.Table:
-        cls, label, n, raw = load(table)
-        side = table.column("side").to_numpy()
+        cls, label, n, side = (table.column(c).to_numpy() for c in ("cls", "component", "n", "side"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        out_a, out_b = [], []
+        forest = _Forest(cls, np.arange(len(cls)))  # of rows: every row that may link across components must be tied
         for size in sorted({len(r) for r in raw}):
             xs = [i for i in left if len(raw[i]) == size]
             ys = np.array([i for i in right if len(raw[i]) in (size, size * 2, size // 2)], np.int64)
@@ -343,24 +368,43 @@ def _apart(members: DataFrame, t: int) -> DataFrame:
             low = min(size, *(len(raw[i]) for i in ys))
             wide = np.stack([folded(raw[i], low) for i in ys]).view(np.uint64)
             for i in xs:
-                ok = np.flatnonzero((label[ys] != label[i]) & (np.minimum(n[ys], n[i]) * 100 >= np.maximum(n[ys], n[i]) * t))
+                ok = np.flatnonzero((label[ys] != label[i]) & (forest.component[ys] != forest.component[i]) & (np.minimum(n[ys], n[i]) * 100 >= np.maximum(n[ys], n[i]) * t))
                 if len(ok):
-                    mine = folded(raw[i], low).view(np.uint64)
-                    apart = np.bitwise_count(wide[ok] ^ mine).sum(1)
-                    hit = ys[ok[apart <= most_apart(n[ys[ok]], n[i], t)]]
-                    out_a.append(np.minimum(cls[hit], cls[i]))
-                    out_b.append(np.maximum(cls[hit], cls[i]))
-        if not out_a:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        one = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-        return pa.table({"a": one[:, 0], "b": one[:, 1]})
-
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"), "cls", "component", "n", "bits")
-    return dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long")
+                    apart = np.bitwise_count(wide[ok] ^ folded(raw[i], low).view(np.uint64)).sum(1)
+                    forest.join(i, ys[ok[apart <= most_apart(n[ys[ok]], n[i], t)]])
+        return forest.table()
+
+    return _blocks(members, "sig", BLOCK, ["n", "bits"]).applyInArrow(compare, "a long, b long")
+
+
+def _resolved(members: DataFrame, t: int) -> DataFrame:
+    """Links that join the components of a family: exact, by the sets themselves, as a forest in each two blocks."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, label, side = (table.column(c).to_numpy() for c in ("cls", "component", "side"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        n = np.array([len(x) for x in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), n)
+        _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        held = count[at] > 1
+        names, at = np.unique(at[held], return_inverse=True)
+        row = row[held]
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        same = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, len(names), COLUMNS):
+            lo, hi = np.searchsorted(at, (low, low + COLUMNS))
+            part = np.zeros((len(sets), min(COLUMNS, len(names) - low)), np.float32)
+            part[row[lo:hi], at[lo:hi] - low] = 1
+            same += part @ part.T
+        forest = _Forest(cls, label)
+        right = side >= 1
+        for i in np.flatnonzero(side <= 1):
+            both = same[i].astype(np.int64)
+            forest.join(i, np.flatnonzero(right & (100 * both >= t * (n + n[i] - both))))
+        return forest.table()
+
+    return _blocks(members, "family", FAMILY_BLOCK, ["tokens"]).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, frequent: int = SMALL + 1) -> DataFrame:
@@ -400,10 +444,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, frequent: int = SM
     left = materialize(left, "left")
     weights = left.groupBy("cls").agg(F.count("*").alias("w"))
     left = join_unique(left, known.drop("w").join(weights, "cls"), "cls", "w")
-    more = materialize(_apart(left, t).distinct().join(near, ["a", "b"], "left_anti"), "more")
-    if more.head(1):
-        tokens = _tokens(docs, classes, more, k)
-        found = materialize(_linked(more, tokens, t), "more-links")
+    forest = materialize(_apart(left, t).distinct(), "forest")
+    if forest.head(1):
+        family = connected_components(forest.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        family = materialize(family.select(F.col("vertex").alias("cls"), F.col("component").alias("family")), "families")
+        sizes = family.groupBy("family").agg(F.count("*").alias("size"), F.count("*").alias("w"))
+        kin = join_unique(family, materialize(sizes, "family-sizes"), "family", "w").join(known.select("cls", "component"), "cls")
+        found = materialize(_resolved(kin.join(_tokens(docs, classes, forest, k), "cls"), t), "more-links")
         if found.head(1):
             labels = materialize(_labels(links.unionByName(found), classes), "all-labels")
 
