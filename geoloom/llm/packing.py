@@ -11,7 +11,9 @@ up a length or a type, so the plan stays small.  Every piece then finds its plac
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import materialize
 
 #: Words whose ids a worker remembers at most; the memory starts anew when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Characters of texts that are encoded at once, but for a longer text.
+GROUP_CHARS = 1_500_000
 #: Rows that a plan can have at most; more would mean that lengths were not grouped.
 MOST_SLOTS = 2_000_000
 
@@ -113,30 +117,75 @@ def plan_bins(counts: dict[int, int], capacity: int, most_docs: int, most_cost:
     return Plan(start, *columns, sequence)
 
 
+#: Characters for which splitting here equals the tokenizer's own: ASCII and Latin letters and marks that lower-casing
+#: and NFC map one to one, and white space that both sides agree on.  Other texts go to the tokenizer whole.
+_PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00ff\u0152\u0153\u2010-\u2027\u2030-\u205e]*")
+# The pattern by which this vocabulary parts words, over the characters of _PLAIN in lower case.
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff\u01530-9]+")
+
+
 class WordEncoder:
-    """Ids of a text by a tokenizer that never joins across white space: each run between ASCII white space is encoded once and remembered."""
+    """Ids of texts.  Each distinct word is encoded once and remembered; many new words go in one call, whose ids are
+    parted at those that end a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of text, then id 0."""
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        ids: list[int] = []
+        for at in range(0, len(new), 2000):
+            ids += self.tokenizer.encode_batch_fast([" ".join(new[at : at + 2000])], add_special_tokens=False)[0].ids
+        ids = np.array(ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("a word was not encoded by itself")
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [_WORD.findall(t.lower()) for t in texts]
+        words = list(itertools.chain.from_iterable(parts))
+        new = list(set(words).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            new = list(set(words))
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        known = self.known
-        ids = list(itertools.chain.from_iterable([known[w] for w in words]))
-        ids.append(0)
-        return np.array(ids, "<u4")
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        low = self.starts[at]
+        size = self.starts[at + 1] - low
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(low - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[np.cumsum([0] + [len(p) for p in parts])]
+        return [ids[a:b] for a, b in itertools.pairwise(ends)]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, then id 0; in order."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size < GROUP_CHARS):
+                group.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            plain = [bool(_PLAIN.fullmatch(t)) for t in group]
+            known = iter(self._plain([t for t, p in zip(group, plain, strict=True) if p]))
+            others = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(group, plain, strict=True) if not p], add_special_tokens=False))
+            for p in plain:
+                ids = next(known) if p else np.array(next(others).ids, np.uint32)
+                yield np.append(ids, np.uint32(0)).astype("<u4")
 
 
 def _pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool) -> DataFrame:
@@ -145,8 +194,8 @@ def _pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool) -> D
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     data = part.tobytes()
