@@ -14,9 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType, StringType, LongType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from geoloom.llm.common import texts_of
+from geoloom.llm.common import drop_scratch, materialize, texts_of
 from geoloom.llm.folds import remainder, training_rows
 
 #: Labelled documents that the model is fitted on at most.
@@ -25,6 +25,8 @@ MOST_LABELLED = 12_000
 MOST_WORDS = 60_000
 #: A word is learned when so many training documents have it.
 LEAST_DOCS = 4
+#: Toxic training documents that a feature worth counting is in.
+LEAST_BAD = 3
 #: Standard errors by which the toxic share of a word's documents must exceed that of all.
 LEAST_Z = 5.0
 #: The noisy-or's leak: the chance that a document is labelled toxic for no sentence.  Scores leave it out.
@@ -101,27 +103,15 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum(np.array(scores), 1 - 1e-12)).sum())) if scores else 0.0
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 400, rate: float = 0.15, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray, float]:
-    """bags: feature hashes of a document and the sentence (from 0) of each.  Features, their weights and the bias, by Adam on all rows."""
-    each = [np.unique(w) for w, _ in bags]
-    vocabulary, at, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    share = np.clip(y.mean(), 0.01, 0.99)
-    bad = np.bincount(at, np.repeat(y, [len(x) for x in each]), len(vocabulary))
-    vocabulary = vocabulary[(n >= LEAST_DOCS) & ((bad / n - share) >= LEAST_Z * np.sqrt(share * (1 - share) / n))]
-    ids, sents, docs, count = [], [], [], 0
-    for d, (w, s) in enumerate(bags):
-        k = int(s.max()) + 1 if len(s) else 0
-        if len(vocabulary) and len(w):
-            at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
-            ok = vocabulary[at] == w
-            pairs = np.unique(np.stack([s[ok].astype(np.int64), at[ok]]), axis=1)
-            sents.append(pairs[0] + count)
-            ids.append(pairs[1])
-        docs.append(np.full(k, d))
-        count += k
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    sents = np.concatenate(sents) if sents else np.zeros(0, np.int64)
-    docs = np.concatenate(docs)
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, y: np.ndarray, vocabulary: np.ndarray, steps: int = 400, rate: float = 0.15, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+    """Weights of the vocabulary (sorted feature hashes) and the bias, by Adam on all rows.
+
+    bags: a document's features that the vocabulary has, and the sentence (from 0) of each; sizes: its sentences.
+    """
+    docs, first = np.repeat(np.arange(len(y)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    count = int(first[-1])
+    pairs = [np.stack([s.astype(np.int64) + first[d], np.searchsorted(vocabulary, w)]) for d, (w, s) in enumerate(bags)]
+    sents, ids = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
     w, b = np.zeros(len(vocabulary)), BIAS
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
@@ -135,35 +125,76 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 4
         v = 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return vocabulary, w, float(b)
+    return w, float(b)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Feature hashes of a training document, the sentence of each, and how many sentences there are."""
+    w, s, n = [], [], 0
+    for _, _, part in sentences(data):
+        for x in part:
+            own = features(x)
+            w += map(xxhash.xxh64_intdigest, own)
+            s += [n] * len(own)
+        n += 1
+        if len(w) > MOST_WORDS:
+            break
+    return np.array(w, np.uint64), np.array(s, np.uint32), n
+
+
+def _counted(rows: DataFrame, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and in how many documents of rows they are: those in `only`, or without it those in LEAST_BAD or more."""
+    shared = rows.sparkSession.sparkContext.broadcast(only)
+
+    def count(batches):
+        held = []
+        for batch in batches:
+            for data in texts_of(batch.column(0)):
+                w = np.unique(_hashed(data)[0])
+                held.append(w if shared.value is None else w[np.isin(w, shared.value, assume_unique=True)])
+        if held:
+            f, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n)], ["f", "n"])
+
+    total = rows.select("text").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    got = (total.where(F.col("n") >= LEAST_BAD) if only is None else total).toArrow()  # of the bounded sample
+    f, n = got["f"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(f)
+    return f[order], n[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = MOST_LABELLED) -> NoisyOr:
-    """A model from labelled documents outside the held-out fold; without labels of both kinds it finds nothing toxic."""
+    """A model from labelled documents outside the held-out fold; without labels of both kinds it finds nothing toxic.
 
-    def hashed(batches):
+    A feature is learned if LEAST_DOCS documents have it and the share of toxic ones among them is LEAST_Z standard
+    errors above that of all.  Counting is left to the executors; the driver gets features that pass, and where they are.
+    """
+    rows = materialize(training_rows(docs, labels, label, folds, held, most), "toxic-sample")
+    share, bad = rows.agg(F.avg("y"), F.sum((F.col("y") > 0.5).cast("int"))).first()
+    if not bad or bad == rows.count():
+        return NoisyOr({}, -30.0)
+    share = min(max(share, 0.01), 0.99)
+    words, toxic = _counted(rows.where("y > 0.5"), None)
+    n = _counted(rows, words)[1]
+    good = (n >= LEAST_DOCS) & (toxic / n - share >= LEAST_Z * np.sqrt(share * (1 - share) / n))
+    vocabulary = words[good]
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def hits(batches):
         for batch in batches:
-            words, sents = [], []
+            words, sents, sizes = [], [], []
             for data in texts_of(batch.column(1)):
-                w, s = [], []
-                for i, (_, _, part) in enumerate(sentences(data)):
-                    for x in part:
-                        own = features(x)
-                        w += map(xxhash.xxh64_intdigest, own)
-                        s += [i] * len(own)
-                    if len(w) > MOST_WORDS:
-                        break
-                words.append(np.array(w, np.uint64).tobytes())
-                sents.append(np.array(s, np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary()), pa.array(sents, pa.binary())], ["doc_id", "y", "w", "s"])
-
-    rows = training_rows(docs, labels, label, folds, held, most)
-    got = rows.mapInArrow(hashed, "doc_id long, y double, w binary, s binary").toArrow().sort_by("doc_id")
-    y = got["y"].to_numpy()
-    if not len(y) or (y > 0.5).all() or (y <= 0.5).all():
-        return NoisyOr({}, -30.0)
+                w, s, size = _hashed(data)
+                ok = np.isin(w, shared.value)
+                words.append(w[ok].tobytes())
+                sents.append(s[ok].tobytes())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary()), pa.array(sents, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "y", "w", "s", "n"])
+
+    got = rows.select("doc_id", "text", "y").mapInArrow(hits, "doc_id long, y double, w binary, s binary, n long").toArrow().sort_by("doc_id")
+    drop_scratch(rows)
     bags = [(np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.uint32)) for w, s in zip(got["w"], got["s"], strict=True)]
-    vocabulary, w, b = fit(bags, y)
+    w, b = fit(bags, got["n"].to_numpy(), got["y"].to_numpy(), vocabulary)
     return NoisyOr({int(h): float(x) for h, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-3}, b)
 
 
