@@ -36,7 +36,7 @@ TEMPLATES = {
     "cc-by-sa": f"{_VERB} {_TERMS} <<opt>>a<<end>> <<opt>>the<<end>> cc by sa",
     "cc-by-nc": f"{_VERB} {_TERMS} <<opt>>a<<end>> <<opt>>the<<end>> cc by nc <<opt>><<var words=1-1 match=sa|nd>><<end>> <<opt>><<var words=1-1 match=[1-4]>> 0<<end>>",
     "cc0": f"{_VERB} {_TERMS} <<opt>>the<<end>> cc0",
-    "copyright-reserved": "<<opt>>copyright<<end>> <<opt>>c<<end>> <<opt>><<var words=1-8 match=.*>><<end>> all rights reserved",
+    "copyright-reserved": "<<opt>>copyright <<opt>>c<<end>> <<var words=1-8 match=.*>><<end>> all rights reserved",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this <<var words=1-6 match=.*>> and associated documentation <<opt>>files<<end>> <<opt>>the software<<end>> to deal in the <<var words=1-2 match=.*>> without restriction",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",

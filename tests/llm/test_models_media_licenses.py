@@ -23,7 +23,7 @@ def test_template_automata():
     assert labels("Licensed under CC BY-NC 4.0.") == ["cc-by-nc"] and labels("All rights reserved") == ["copyright-reserved"]
     n, base, hits = s.scan("Zéro cc BY cc-by. Copyright (c) 2020 Some Body. All Rights Reserved!".encode())
     assert (n, base) == (13, [(1, "cc-by"), (3, "cc-by"), (10, "reserved")])
-    assert hits == [("copyright-reserved", 0, 13)]
+    assert hits == [("copyright-reserved", 5, 13)]
 
 
 def test_automaton_against_every_expansion():
@@ -127,7 +127,7 @@ def test_models_without_labels(spark):
     docs, labels, _ = corpus(spark, 5)
     none = labels.limit(0)
     assert {x.score for x in quality_model.score_quality(docs, none).collect()} == {0.5}
-    assert {x.score for x in toxicity.score_toxicity(docs, none).collect()} == {0.0}
+    assert all(x.score < 1e-6 for x in toxicity.score_toxicity(docs, none).collect())
     assert quality_model.score_quality(docs.limit(0), none).count() == 0
 
 
