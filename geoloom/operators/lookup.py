@@ -13,7 +13,9 @@ PUSHED_IDS = 10_000
 
 def requests(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
     """pos (from 0), req_id."""
-    return spark.createDataFrame(list(enumerate(ids)), "pos int, req_id long")
+    if not 0 < len(ids) <= PUSHED_IDS:
+        return spark.createDataFrame(list(enumerate(ids)), "pos int, req_id long")
+    return spark.range(1).select(F.posexplode(F.array(*(F.lit(i).cast("long") for i in ids))).alias("pos", "req_id"))
 
 
 def lookup(entities: DataFrame, ids: Sequence[int] | DataFrame) -> DataFrame:
