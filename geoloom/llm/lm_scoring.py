@@ -133,7 +133,8 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = materialize(_encoded(docs, vocabulary(docs)), "encoded")
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    background, wanted_counts = _counts(encoded.join(wanted, "doc_id", "left"))
+    # merged at every size: ids of the target grow with the labels and must not be broadcast
+    background, wanted_counts = _counts(encoded.join(wanted.hint("merge"), "doc_id", "left"))
     if not wanted_counts.any():
         wanted_counts = background
     shared = docs.sparkSession.sparkContext.broadcast((log_probabilities(wanted_counts), log_probabilities(background)))
