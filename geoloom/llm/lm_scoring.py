@@ -24,7 +24,9 @@ VOCABULARY, WORDS = 2048, 1535
 #: Shares of the bigram, unigram and uniform estimates.
 SHARES = (0.6, 0.38, 0.02)
 #: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 300_000
+HELD_WORDS = 150_000
+#: Bigrams that a task holds before it counts them.
+HELD_PAIRS = 1_000_000
 
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
@@ -40,9 +42,9 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
             for data in texts_of(batch.column(0)):
                 for words in word_blocks(data.lower()):
                     held.update(words)
-            if len(held) > HELD_WORDS:
-                yield flush()
-                held.clear()
+                if len(held) > HELD_WORDS:
+                    yield flush()
+                    held.clear()
         yield flush()
 
     counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -91,9 +93,9 @@ def _counts(encoded: DataFrame) -> np.ndarray:
                 size += len(pairs)
                 if target:
                     keys.append(pairs + VOCABULARY * VOCABULARY)
-            if size > 4_000_000:
-                yield flush()
-                keys, size = [], 0
+                if size > HELD_PAIRS:
+                    yield flush()
+                    keys, size = [], 0
         if keys:
             yield flush()
 
