@@ -137,10 +137,12 @@ def compile_template(label: str, text: str) -> Automaton:
 
 
 def places(flat: bytes, phrase: bytes) -> list[int]:
-    """Byte positions of a phrase (a space at both ends) in words joined by spaces."""
-    out, at = [], flat.find(phrase)
+    """Words (from 0) at which a phrase (a space at both ends) stands in words joined by spaces, in one pass."""
+    out, word, seen, at = [], 0, 0, flat.find(phrase)
     while at >= 0:
-        out.append(at)
+        word += flat.count(b" ", seen, at)
+        seen = at
+        out.append(word)
         at = flat.find(phrase, at + 1)
     return out
 
@@ -158,11 +160,10 @@ class Scanner:
         flat = b" " + b" ".join(words) + b" "
         base, hits = [], []
         for phrase, label in self.phrases:
-            base += [(flat.count(b" ", 0, p), label) for p in places(flat, phrase)]
+            base += [(start, label) for start in places(flat, phrase)]
         for a in self.automata:
             last = -1
-            for p in places(flat, a.key):
-                key = flat.count(b" ", 0, p)
+            for key in places(flat, a.key):
                 for start in range(max(last, key - a.before, 0), key + 1):
                     if (end := a.longest(words, start)) > key:
                         hits.append((a.label, start, end))
