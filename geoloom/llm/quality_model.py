@@ -10,16 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import texts_of, word_blocks
+from geoloom.llm.common import drop_scratch, materialize, texts_of, word_blocks
 from geoloom.llm.folds import remainder, training_rows
 
 #: Labelled documents that the model is fitted on at most.
 MOST_LABELLED = 4000
-#: Passages of a training document that are learned from at most, evenly spaced; scoring takes every passage.
-MOST_PASSAGES = 200
+#: Passages of all these documents together at most: of the labelled rows in md5 order, those up to that sum are fitted on.
+MOST_PASSAGES = 200_000
+#: Bytes of a passage whose trigrams are counted at once.
+CHUNK = 1 << 20
 #: Words of a passage.
 PASSAGE = 64
 BUCKETS = 128
@@ -29,6 +31,16 @@ N_STYLE = len(_CLASSES) + 8
 N_FEATURES = N_STYLE + BUCKETS
 
 
+def trigrams(flat: bytes) -> np.ndarray:
+    """How many byte trigrams of flat fall into each bucket; one or two bytes count by themselves."""
+    count = np.zeros(BUCKETS, np.int64)
+    for at in range(0, max(1, len(flat) - 2), CHUNK):
+        b = np.frombuffer(flat[at : at + CHUNK + 2], np.uint8).astype(np.uint32)
+        grams = (b[:-2] * 9967 + b[1:-1] * 619 + b[2:] * 31) >> 3 if len(flat) > 2 else b
+        count += np.bincount(grams % BUCKETS, minlength=BUCKETS)
+    return count
+
+
 def passages(data: bytes) -> np.ndarray:
     """A row of N_FEATURES for each PASSAGE words of data; a text without words has one row of zeros."""
     rows, seen = [], set()
@@ -44,12 +56,8 @@ def passages(data: bytes) -> np.ndarray:
                 sum(w == v for w, v in zip(part, part[1:], strict=False)) / n, len({w[-1] for w in part}) / n, len({w[-3:] for w in part}) / n,
             ]
             seen |= kinds
-            b = np.frombuffer(flat[:20_000], np.uint8).astype(np.uint32)
-            grams = (b[:-2] * 9967 + b[1:-1] * 619 + b[2:] * 31) >> 3 if size > 2 else b
-            count = np.bincount(grams % BUCKETS, minlength=BUCKETS)
-            rows.append(np.concatenate([np.array(style, np.float32), np.sqrt(count / max(1, len(grams))).astype(np.float32)]))
-        if len(seen) > 200_000:
-            seen.clear()
+            count = trigrams(flat)
+            rows.append(np.concatenate([np.array(style, np.float32), np.sqrt(count / count.sum()).astype(np.float32)]))
     return np.stack(rows) if rows else np.zeros((1, N_FEATURES), np.float32)
 
 
@@ -125,16 +133,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     def features(batches):
         for batch in batches:
-            out = []
+            sizes, out = [], []
             for data in texts_of(batch.column(1)):
                 x = passages(data)
-                if len(x) > MOST_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MOST_PASSAGES).astype(int)]
+                sizes.append(len(x))
                 out.append(x.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "y", "n", "x"])
 
     rows = training_rows(docs, labels, label, folds, held, most)
-    got = rows.mapInArrow(features, "doc_id long, y double, x binary").toArrow().sort_by("doc_id")
+    made = materialize(rows.mapInArrow(features, "doc_id long, y double, n long, x binary"), "quality-sample")
+    upto = F.sum("n").over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))  # `most` rows at most
+    fitting = made.select("doc_id", upto.alias("upto")).where(F.col("upto") <= MOST_PASSAGES).select("doc_id")
+    got = made.join(F.broadcast(fitting), "doc_id").select("doc_id", "y", "x").toArrow().sort_by("doc_id")
+    drop_scratch(made)
     y = got["y"].to_numpy()
     if not len(y) or (y > 0.5).all() or (y <= 0.5).all():
         return float(y.mean()) if len(y) else 0.5
