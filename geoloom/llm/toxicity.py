@@ -6,7 +6,9 @@ score of its words and their beginnings.  Only document labels are needed; the s
 
 from __future__ import annotations
 
+import itertools
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +23,6 @@ from geoloom.llm.folds import remainder, training_rows
 
 #: Labelled documents that the model is fitted on at most.
 MOST_LABELLED = 12_000
-#: Features of a training document that are learned from at most; scoring takes every word.
-MOST_WORDS = 60_000
 #: A word is learned when so many training documents have it.
 LEAST_DOCS = 4
 #: Toxic training documents that a feature worth counting is in.
@@ -40,6 +40,7 @@ BEGINNINGS = (4, 6, 8)
 #: Words whose weight a worker remembers at most; the memory starts anew when it is full.
 REMEMBERED = 500_000
 _STOP = re.compile(rb"[.!?\n\x0b\x0c\r]+")
+_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 _TRIM = b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -48,20 +49,14 @@ def sentences(data: bytes):
     at = 0
     for stop in [*_STOP.finditer(data), None]:
         to = stop.start() if stop else len(data)
-        words = data[at:to].lower().split()
-        if len(words) <= LONGEST:
-            if words:
-                yield at, to, [w.strip(_TRIM) for w in words]
-        else:
-            here = at
-            for i in range(0, len(words), LONGEST):
-                part = words[i : i + LONGEST]
-                end = here
-                for w in part:
-                    end = data.lower().find(w, end, to) + len(w) if len(data) < 4096 else end + len(w) + 1
-                end = to if i + LONGEST >= len(words) else min(end, to)
-                yield here, end, [w.strip(_TRIM) for w in part]
-                here = end
+        if words := data[at:to].lower().split():
+            ends = [to]
+            if len(words) > LONGEST:
+                every = [w.end() for w in itertools.islice(_WORD.finditer(data, at, to), LONGEST - 1, None, LONGEST)]
+                ends = every[:-1] + ends if len(words) % LONGEST == 0 else every + ends
+            for i, end in enumerate(ends):
+                yield at, end, [w.strip(_TRIM) for w in words[i * LONGEST : (i + 1) * LONGEST]]
+                at = end
         at = stop.end() if stop else to
 
 
@@ -130,15 +125,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, y: np.ndar
 
 def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Feature hashes of a training document, the sentence of each, and how many sentences there are."""
-    w, s, n = [], [], 0
+    w, s, n = array("Q"), array("I"), 0
     for _, _, part in sentences(data):
-        for x in part:
-            own = features(x)
-            w += map(xxhash.xxh64_intdigest, own)
-            s += [n] * len(own)
+        own = [f for x in part for f in features(x)]
+        w.extend(map(xxhash.xxh64_intdigest, own))
+        s.extend([n] * len(own))
         n += 1
-        if len(w) > MOST_WORDS:
-            break
     return np.array(w, np.uint64), np.array(s, np.uint32), n
 
 
