@@ -24,8 +24,6 @@ FANOUT = 3
 _STRIP = b" \t\n\x0b\x0c\r"
 #: Bytes that continue a UTF-8 character: no code point begins with them.
 _CONTINUES = bytes(range(0x80, 0xC0))
-#: Stands for a null doc_id: after every other.
-LAST = (1 << 63) - 1
 
 
 def keys_of(lines: list[bytes], least: int) -> Iterator[bytes | None]:
@@ -79,7 +77,7 @@ class Runs:
 
 
 def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFrame:
-    """_key, gone: for each document (its doc_id, LAST for null) the hashes of the lines that it loses."""
+    """_key, gone: for each document that loses lines its doc_id and their hashes."""
     spark = docs.sparkSession
 
     def hashes(parts):
@@ -91,7 +89,7 @@ def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFr
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["k", "h"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "text").mapInArrow(hashes, "k long, h binary")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("k"), "text").mapInArrow(hashes, "k long, h binary")
     rows = materialize(rows, "line-hashes")
     edges = rows.agg(F.percentile_approx("k", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     lows = [None, *sorted(set(edges))]
@@ -118,14 +116,17 @@ def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFr
 def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFrame:
     """docs without the lines that a document of smaller doc_id has, with _n_lines and _n_dropped added.
 
-    docs: doc_id, text and any other columns, all kept (`_n_lines`, `_n_dropped`, `_key`, `gone` are replaced).
+    docs: doc_id, text and any other columns, all kept (`_n_lines`, `_n_dropped`, `_key`, `_salt`, `gone` are replaced).
     Texts are split at \\n; null and empty texts are one empty line and become empty.  Keys shorter than `least`
     code points stay.  Within its owner a key keeps all its lines.  Rows that repeat a doc_id count as one
-    document; rows with a null doc_id count together as one document after all others.
+    document; rows with a null doc_id own no line and lose none.
     """
-    docs = docs.drop("_n_lines", "_n_dropped", "_key", "gone").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("_n_lines", "_n_dropped", "_key", "_salt", "gone").withColumn("text", F.col("text").cast("string"))
     lost = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, batches)
-    joined = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(lost, "_key", "left").drop("_key")
+    # rows without a doc_id match nothing; the salt spreads them over the tasks
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+    keyed = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_salt": salt})
+    joined = keyed.join(lost.withColumn("_salt", F.lit(0).cast("long")), ["_key", "_salt"], "left").drop("_key", "_salt")
     fields = [f for f in joined.schema.fields if f.name != "gone"]
     schema = docs.select([f.name for f in fields]).schema.add("_n_lines", "long").add("_n_dropped", "long")
 
