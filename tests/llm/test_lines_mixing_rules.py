@@ -20,16 +20,15 @@ def test_line_dedup(spark):
     rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 12)))) for i in range(200)]
     rows += [(500, None), (501, ""), (502, "a common line here\n" * 3), (3, "line number 3"), (None, "a common line here\nunique to the nameless")]
     docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, h string").repartition(4)
-    last = 1 << 62
     owner = {}
     for i, t in rows:
         for line in (t or "").split("\n"):
-            if len(key(line)) >= 10:
-                owner[key(line)] = min(owner.get(key(line), last), last if i is None else i)
+            if len(key(line)) >= 10 and i is not None:
+                owner[key(line)] = min(owner.get(key(line), i), i)
     want = []
     for i, t in rows:
         every = (t or "").split("\n")
-        left = [x for x in every if owner.get(key(x), last if i is None else i) == (last if i is None else i)]
+        left = [x for x in every if i is None or owner.get(key(x), i) == i]
         want.append((str(i), "\n".join(left), len(every), len(every) - len(left), "kept"))
     got = [(str(x.doc_id), x.text, x._n_lines, x._n_dropped, x.h) for x in line_dedup.dedup_lines(docs, batches=7).collect()]
     assert sorted(got) == sorted(want)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import tarfile
+import time
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,34 @@ def test_automaton_against_every_expansion():
         assert a.longest([x.encode() for x in w], 0) == want
 
 
+def test_many_places_in_one_pass():
+    s = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    began = time.perf_counter()
+    n, base, hits = s.scan(b"all rights reserved. some words under the MIT license; " * 40_000)
+    assert time.perf_counter() - began < 60
+    assert (n, len(base), base[-1]) == (360_000, 40_000, (359_991, "reserved"))
+    assert sum(x[0] == "mit" for x in hits) == 40_000
+
+
+def test_sentences_and_their_places():
+    text = "One two.  Three,\n\n" + "  ".join(f"W{i}" for i in range(150)) + " ! " + " ".join("x" for _ in range(120)) + "\nEnd"
+    found = list(toxicity.sentences(text.encode()))
+    assert [len(w) for *_, w in found] == [2, 1, 60, 60, 30, 60, 60, 1]
+    for start, end, words in found:
+        assert [w.strip(toxicity._TRIM) for w in text.encode()[start:end].lower().split()] == words
+
+
+def test_whole_passages_count():
+    long = bytes(range(97, 123)) * 100_000
+    b = np.frombuffer(long, np.uint8).astype(np.uint32)
+    want = np.bincount((b[:-2] * 9967 + b[1:-1] * 619 + b[2:] * 31 >> 3) % quality_model.BUCKETS, minlength=quality_model.BUCKETS)
+    assert (quality_model.trigrams(long) == want).all()
+    assert quality_model.trigrams(b"a").sum() == 1 and quality_model.trigrams(b"ab").sum() == 2 and quality_model.trigrams(b"abc").sum() == 1
+    assert quality_model.passages(b"word " * 640).shape == (10, quality_model.N_FEATURES)
+    w, s, n = toxicity._hashed(b"some words. " * 50_000)
+    assert n == 50_000 and s[-1] == n - 1 and len(w) == len(s) > 100_000
+
+
 def test_license_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 200_000 + "cc by 4.0"), (None, "All rights reserved"), (3, "again")], "doc_id long, text string")
     got = sorted(((str(x.doc_id), x.n_words, len(x.base), x.score) for x in license_scan.scan_licenses(docs).collect()))
