@@ -9,6 +9,8 @@ from geoloom.functions import geo
 
 #: Bits of a band's height: 4 194 304 units, 0.42 degrees.
 BAND_BITS = 22
+#: Parts of a band, by point.
+SPLITS = 16
 
 
 def located(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -35,11 +37,16 @@ def points_in_polygons(points: DataFrame, seg: DataFrame, key: str, bits: int =
     """path_id and key of the points (key, pos_x, pos_y) that lie in a path's polygon, by the parity of crossings.
 
     A point meets only the segments of its own band: an equi-join, where comparing every point with every segment
-    would be a nested loop.
+    would be a nested loop.  A band can be hot on both sides and few bytes can make very many crossings, so each
+    band is split into SPLITS by a hash of the point, over all tasks whatever the bytes; neither side is broadcast.
+    All crossings of a point are counted in one task before the shuffle by path.
     """
-    at = points.withColumn("band", F.shiftright("pos_y", bits))
+    conf = points.sparkSession.conf
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism)
+    at = points.withColumns({"band": F.shiftright("pos_y", bits), "split": F.pmod(F.xxhash64(key), F.lit(SPLITS))}).repartition(tasks, "band", "split")
+    split = bands(seg, bits).withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLITS - 1).cast("long"))))
     hit = geo.crosses(*(F.col(c) for c in ("pos_x", "pos_y", "x1", "y1", "x2", "y2")))
-    crossings = at.join(bands(seg, bits), "band").where(hit).groupBy("path_id", key).agg(F.count("*").alias("n"))
+    crossings = at.join(split.hint("merge"), ["band", "split"]).where(hit).groupBy("path_id", key).agg(F.count("*").alias("n"))
     return crossings.where("n % 2 = 1").select("path_id", key)
 
 
