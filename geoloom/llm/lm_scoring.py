@@ -1,127 +1,150 @@
 """LM scoring by cross-entropy difference (Moore and Lewis, 2010).
 
-A target and a background bigram model of words, with the same smoothing, share one vocabulary: the commonest
-words of all documents, other words by hash into a few hundred classes.  Counts are taken over every document.  A
-document's score is the mean over its tokens of background log probability minus target log probability: below 0
-the text is more like the target.  The models are two tables of VOCABULARY by VOCABULARY numbers (16 MB each),
-whatever the size of the corpus, so that they can be broadcast.
+A target and a background bigram model of whole lower-cased words, with the same smoothing, over every word of all
+documents.  A document's score is the mean over its tokens of background log probability minus target log
+probability: below 0 the text is more like the target.  The models are never in one place: documents are put into
+blocks, each block counts its own distinct words and word pairs, the counts are summed by 64-bit hash in buckets (as
+many as blocks), and every block reads the sums of its own words and pairs.  A word or pair meets its bucket once a
+block, however often it occurs, so that no bucket is hot.  Texts are stored once and never shuffled: what a block needs
+lies in a folder of its number.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, texts_of, word_blocks
+from geoloom.llm.common import mixed, scratch_path, texts_of, word_blocks, word_hashes
 
-#: Ids: 0 begins a text, then WORDS common words, then classes of the others.
-VOCABULARY, WORDS = 2048, 1535
+#: Words that the uniform estimate is spread over at least; as many as there are where the documents have more.
+VOCABULARY = 2048
 #: Shares of the bigram, unigram and uniform estimates.
 SHARES = (0.6, 0.38, 0.02)
-#: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 150_000
-#: Bigrams that a task holds before it counts them.
-HELD_PAIRS = 1_000_000
+#: Words and bytes that fill a block.
+BLOCK_WORDS, BLOCK_TEXT = 1_000_000, 1 << 23
+_BLOCK = "block long, row array<long>, doc_id array<long>, before array<long>, n array<long>, words binary"
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The WORDS commonest lower-cased words of all texts, ties by bytes."""
+def _stored(df: DataFrame, name: str, *by: str) -> str:
+    """The folder in the shared one that df is written to, parted by columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return path
 
-    def count(batches):
-        held = Counter()
+
+def _of_block(path: str, block: int, columns: list[str]) -> pa.Table | None:
+    """What a table parted by block has for one; None if nothing."""
+    files, folder = fs.FileSystem.from_uri(f"{path}/block={block}")
+    if files.get_file_info(folder).type != fs.FileType.Directory:
+        return None
+    return pq.read_table(folder, filesystem=files, columns=columns, partitioning=None)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of the rows of docs (row, doc_id, text): a row a block, with the parts of its texts in order.
+
+    A part has n words of a text; before is the hash of the word before them, 0 at the beginning.
+    """
+
+    def cut(batches):
+        first, made, held, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            lists = [pa.array([c], pa.list_(pa.int64())) for c in zip(*held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *lists, pa.array([b" ".join(texts)], pa.binary())], ["block", "row", "doc_id", "before", "n", "words"])
 
+        n_words = 0
         for batch in batches:
-            for data in texts_of(batch.column(0)):
+            for row, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+                before = 0
                 for words in word_blocks(data.lower()):
-                    held.update(words)
-                if len(held) > HELD_WORDS:
-                    yield flush()
-                    held.clear()
-        yield flush()
+                    held.append((row, doc, before, len(words)))
+                    if words:
+                        texts.append(b" ".join(words))
+                        h = xxhash.xxh64_intdigest(words[-1])
+                        before = h - (1 << 64) if h >> 63 else h
+                        size += len(texts[-1])
+                        n_words += len(words)
+                    if n_words >= BLOCK_WORDS or size >= BLOCK_TEXT or len(held) >= BLOCK_WORDS:
+                        yield flush()
+                        made, held, texts, size, n_words = made + 1, [], [], 0, 0
+        if held:
+            yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in map(lambda r: {"word": bytes(r["word"])}, counts.orderBy(F.desc("n"), "word").limit(WORDS).collect())]
+    return docs.select("row", "doc_id", "text").mapInArrow(cut, _BLOCK)
 
 
-def _encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)})
-    classes = VOCABULARY - WORDS - 1
+def _packed(counts: np.ndarray, kind: str) -> bytes:
+    """Columns of numbers as bytes, all lowest bytes first: small numbers then compress well."""
+    return np.ascontiguousarray(counts.astype(kind)).reshape(-1).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
 
-    def encode(batches):
-        known = shared.value
-        get, crc = known.get, zlib.crc32
-        for batch in batches:
-            out = []
-            for data in texts_of(batch.column(1)):
-                ids = [0]
-                for part in word_blocks(data.lower()):
-                    ids += [get(w) or WORDS + 1 + crc(w) % classes for w in part]
-                out.append(np.array(ids, np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+def _unpacked(data: pa.Buffer, columns: int, kind: str) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(int(kind[2:]), -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(columns, -1)
 
 
-def _counts(encoded: DataFrame) -> np.ndarray:
-    """Bigram counts of the rows of encoded (ids, is_target): [background, target]."""
+def _pairs(n: list[int], before: list[int], words: bytes) -> tuple:
+    """Of the words of a block: hashes of all distinct words, then two places among them for each pair of successive
+    words; hashes of all distinct pairs, and the place of each pair among them."""
+    second = word_hashes(words)
+    sizes = np.array(n)
+    some = sizes > 0
+    first = np.empty_like(second)
+    first[1:] = second[:-1]
+    first[(np.cumsum(sizes) - sizes)[some]] = np.array(before, np.int64).view(np.uint64)[some]
+    kinds, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+    pairs, place = np.unique(mixed(mixed(first) + second), return_inverse=True)
+    return kinds, at[: len(first)], at[len(first) :], pairs, place
 
-    def count(batches):
-        keys = []
 
-        def flush():
-            pair, n = np.unique(np.concatenate(keys), return_counts=True)
-            first = pair // VOCABULARY
-            ends = np.searchsorted(first, np.arange(2 * VOCABULARY + 1))
-            some = np.flatnonzero(ends[1:] > ends[:-1])
-            packed = [(pair[ends[i] : ends[i + 1]] % VOCABULARY).astype("<u2").tobytes() + n[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["row", "packed"])
-
-        size = 0
+def _sums(blocks: DataFrame, wanted: str, buckets: int) -> DataFrame:
+    """block, bucket, counts, kinds: for the words (odd bucket: times before and after another, in all and in the
+    target) and pairs (even bucket: times in all and in the target) of each block in order of their hashes, how often
+    all blocks together have them.  The sum of kinds is the number of distinct words; wanted holds the parts of each
+    block that are of the target."""
+    edges = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+
+    def count(batches):
         for batch in batches:
-            for x, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
-                pairs = ids[:-1] * VOCABULARY + ids[1:]
-                keys.append(pairs)
-                size += len(pairs)
-                if target:
-                    keys.append(pairs + VOCABULARY * VOCABULARY)
-                if size > HELD_PAIRS:
-                    yield flush()
-                    keys, size = [], 0
-        if keys:
-            yield flush()
+            for x in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                kinds, first, second, pairs, place = _pairs(x["n"], x["before"], x["words"])
+                target = np.zeros(len(x["n"]), bool)
+                if places := _of_block(wanted, x["block"], ["places"]):
+                    target[np.concatenate(places["places"].to_pylist())] = True
+                target = np.repeat(target, x["n"])
+                times = lambda at, size: [np.bincount(at, minlength=size), np.bincount(at[target], minlength=size)]  # noqa: E731, B023
+                out = [[], [], []]
+                for odd, keys, counts in ((0, pairs, times(place, len(pairs))), (1, kinds, times(first, len(kinds)) + times(second, len(kinds)))):
+                    counts = np.stack(counts)
+                    ends = np.append(np.searchsorted(keys, edges), len(keys))
+                    for i in np.flatnonzero(ends[1:] > ends[:-1]):
+                        part = slice(ends[i], ends[i + 1])
+                        for column, v in zip(out, (2 * i + odd, _packed(np.diff(keys[part], prepend=np.uint64(0)), "<u8"), _packed(counts[:, part], "<u4")), strict=True):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([x["block"]] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "block", "keys", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        row = np.zeros(VOCABULARY, np.uint64)
-        for x in table.column("packed"):
-            b = x.as_buffer()
-            m = len(b) // 6
-            row[np.frombuffer(b, "<u2", m)] += np.frombuffer(b, "<u4", m, 2 * m).astype(np.uint64)
-        at = np.flatnonzero(row)
-        return pa.table({"row": table.column("row")[:1], "at": pa.array([at.astype("<u2").tobytes()], pa.binary()), "n": pa.array([row[at].astype("<u8").tobytes()], pa.binary())})
-
-    rows = encoded.select("ids", "is_target").mapInArrow(count, "row int, packed binary").groupBy("row").applyInArrow(total, "row int, at binary, n binary")
-    table = np.zeros((2 * VOCABULARY, VOCABULARY), np.float32)
-    for r in materialize(rows, "bigrams").toLocalIterator():  # at most 2 * VOCABULARY rows
-        table[r["row"], np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u8")
-    return table.reshape(2, VOCABULARY, VOCABULARY)
-
-
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Natural log of the smoothed probability of each word after each word."""
-    before = counts.sum(1, keepdims=True, dtype=np.float64)
-    after = counts.sum(0, dtype=np.float64)
-    pair = np.divide(counts, before, out=np.zeros_like(counts), where=before > 0, casting="unsafe")
-    single = after / max(1.0, after.sum())
-    return np.log(SHARES[0] * pair + SHARES[1] * single + SHARES[2] / VOCABULARY).astype(np.float32)
+        bucket = table["bucket"][0].as_py()
+        columns = 4 if bucket % 2 else 2
+        keys = [np.cumsum(_unpacked(x.as_buffer(), 1, "<u8")[0], dtype=np.uint64) for x in table["keys"]]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([_unpacked(x.as_buffer(), columns, "<u4") for x in table["counts"]], axis=1)
+        sums = np.stack([np.bincount(at, c, len(every)) for c in counts])
+        kinds = [0] * len(keys)
+        kinds[0] = int((sums[2] > 0).sum()) if bucket % 2 else 0
+        ends = np.cumsum([len(k) for k in keys])
+        packed = [_packed(sums[:, at[end - len(k) : end]], "<u8") for k, end in zip(keys, ends, strict=True)]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array(packed, pa.binary()), "kinds": pa.array(kinds, pa.int64())})
+
+    counted = blocks.select("block", "before", "n", "words").mapInArrow(count, "bucket long, block long, keys binary, counts binary")
+    return counted.groupBy("bucket").applyInArrow(total, "block long, bucket long, counts binary, kinds long")
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -133,25 +156,38 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     doc_id are scored and belong to the background only; repeated rows count each time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = materialize(_encoded(docs, vocabulary(docs)), "encoded")
-    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    spark = docs.sparkSession
+    cut = _blocks(docs.withColumn("row", F.monotonically_increasing_id()))
+    blocks = spark.read.schema(cut.schema).parquet(_stored(cut, "lm-blocks"))
+    n_blocks, n_all = blocks.agg(F.count("*"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    parts = blocks.select("block", F.posexplode(F.arrays_zip("doc_id", "n")).alias("place", "p")).select("block", "place", "p.doc_id", "p.n")
     # merged at every size: ids of the target grow with the labels and must not be broadcast
-    background, wanted_counts = _counts(encoded.join(wanted.hint("merge"), "doc_id", "left"))
-    if not wanted_counts.any():
-        wanted_counts = background
-    shared = docs.sparkSession.sparkContext.broadcast((log_probabilities(wanted_counts), log_probabilities(background)))
+    places = parts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("places"), F.sum("n").alias("n"))
+    wanted = _stored(places, "lm-target", "block")
+    n_target = spark.read.schema(places.schema).parquet(wanted).agg(F.sum("n")).first()[0]
+    summed = _sums(blocks, wanted, max(1, n_blocks))
+    sums = _stored(summed.repartition("block"), "lm-sums", "block")
+    spread = max(VOCABULARY, spark.read.schema(summed.schema).parquet(sums).agg(F.sum("kinds")).first()[0] or 0)
 
     def score(batches):
-        near, far = shared.value
         for batch in batches:
-            out = [[], [], []]
-            for x in batch.column(1):
-                ids = np.frombuffer(x.as_buffer(), np.uint16)
-                n = len(ids) - 1
-                losses = [-float(t[ids[:-1], ids[1:]].sum(dtype=np.float64)) / n if n else 0.0 for t in (near, far)]
-                for column, v in zip(out, (n, *losses), strict=True):
-                    column.append(v)
-            columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64()), pa.array(np.array(out[1]) - np.array(out[2]), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            for x in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                losses = np.zeros((2, len(x["n"])))
+                if found := _of_block(sums, x["block"], ["bucket", "counts"]):
+                    _, first, second, _, place = _pairs(x["n"], x["before"], x["words"])
+                    found = found.sort_by("bucket")
+                    of = found["bucket"].to_numpy() % 2
+                    pairs, words = (np.concatenate([_unpacked(c.as_buffer(), n, "<u8") for c in found["counts"].filter(pa.array(of == odd))], axis=1) for odd, n in ((0, 2), (1, 4)))
+                    part = np.repeat(np.arange(len(x["n"])), x["n"])
+                    for i, t in enumerate((1 if n_target else 0, 0)):
+                        p = SHARES[0] * pairs[t][place] / np.maximum(words[t][first], 1)
+                        p += SHARES[1] * words[2 + t][second] / (n_target if t else n_all)
+                        losses[i] = np.bincount(part, -np.log(p + SHARES[2] / spread), len(x["n"]))
+                    del first, second, place, pairs, words, part, p, found
+                yield pa.RecordBatch.from_arrays([pa.array(x[c], pa.int64()) for c in ("row", "doc_id", "n")] + [pa.array(v) for v in losses], ["row", "doc_id", "n", "near", "far"])
+
+    scored = blocks.mapInArrow(score, "row long, doc_id long, n long, near double, far double")
+    each = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("near").alias("near"), F.sum("far").alias("far"))
+    loss = lambda c: F.col(c) / F.greatest("n_tokens", F.lit(1))
+    return each.select("doc_id", "n_tokens", loss("near").alias("target_loss"), loss("far").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
