@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import drop_scratch, materialize, texts_of, word_blocks
@@ -18,7 +18,7 @@ from geoloom.llm.folds import remainder, training_rows
 
 #: Labelled documents that the model is fitted on at most.
 MOST_LABELLED = 4000
-#: Passages of all these documents together at most: of the labelled rows in md5 order, those up to that sum are fitted on.
+#: Passages of all these documents together at most: labelled rows are taken in md5 order, passing over those that the rest has no room for.
 MOST_PASSAGES = 200_000
 #: Bytes of a passage whose trigrams are counted at once.
 CHUNK = 1 << 20
@@ -128,8 +128,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 32, gate: int = 16,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, most: int = MOST_LABELLED) -> AttentionModel | float:
-    """A model from labelled documents outside the held-out fold; with labels of one kind or none, that share alone (0.5 without labels)."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, most: int = MOST_LABELLED, passages_held: int = MOST_PASSAGES) -> AttentionModel | float:
+    """A model from labelled documents outside the held-out fold; with labels of one kind or none, that share alone (0.5 without labels).
+
+    A text of more passages than are left of passages_held is passed over; the rows after it still count.
+    """
 
     def features(batches):
         for batch in batches:
@@ -142,9 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     rows = training_rows(docs, labels, label, folds, held, most)
     made = materialize(rows.mapInArrow(features, "doc_id long, y double, n long, x binary"), "quality-sample")
-    upto = F.sum("n").over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))  # `most` rows at most
-    fitting = made.select("doc_id", upto.alias("upto")).where(F.col("upto") <= MOST_PASSAGES).select("doc_id")
-    got = made.join(F.broadcast(fitting), "doc_id").select("doc_id", "y", "x").toArrow().sort_by("doc_id")
+    fitting, room = [], passages_held
+    for r in made.select("doc_id", "n").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").collect():  # `most` rows at most
+        if r["n"] <= room:
+            fitting.append((r["doc_id"],))
+            room -= r["n"]
+    kept = docs.sparkSession.createDataFrame(fitting, "doc_id long")
+    got = made.join(F.broadcast(kept), "doc_id").select("doc_id", "y", "x").toArrow().sort_by("doc_id")
     drop_scratch(made)
     y = got["y"].to_numpy()
     if not len(y) or (y > 0.5).all() or (y <= 0.5).all():
