@@ -55,20 +55,25 @@ def closure(roots: DataFrame, members: DataFrame, deepest: int = DEEPEST) -> Dat
     return out
 
 
-def region_vertices(roots: DataFrame, members: DataFrame, refs: DataFrame, depth: int = 3) -> DataFrame:
+def region_vertices(roots: DataFrame, members: DataFrame, refs: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """root, role, node_id, place: vertices met by walking relations, ways and nodes in order, each once.
 
     A path of zero-padded member positions sorts like the depth-first walk.  Way roles are outer and inner; a
-    node is kept at its first place, and an inner one only if no outer way of the root has it.
+    node is kept at its first place, and an inner one only if no outer way of the root has it.  A relation within
+    itself is not entered again.  ValueError if relations are found below level deepest.
     """
     pad = lambda c: F.concat(F.lpad(F.col(c).cast("string"), 7, "0"), F.lit("/"))
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("rel_id"), F.lit("").alias("path"))
+    level = roots.select(F.col("id").alias("root"), F.col("id").alias("rel_id"), F.lit("").alias("path"), F.array("id").alias("within"))
     ways = None
-    for _ in range(depth):
+    for _ in range(deepest + 1):
         step = level.join(members.where("type in (1, 2)"), "rel_id").withColumn("path", F.concat("path", pad("pos")))
         found = step.where("type = 1").select("root", "role", F.col("ref").alias("way_id"), "path")
         ways = found if ways is None else ways.unionByName(found)
-        level = step.where("type = 2").select("root", F.col("ref").alias("rel_id"), "path")
+        level = step.where("type = 2 and not array_contains(within, ref)").select("root", F.col("ref").alias("rel_id"), "path", F.concat("within", F.array("ref")).alias("within"))
+        if not level.head(1):
+            break
+    else:
+        raise ValueError(f"relations are nested more than {deepest} levels deep")
     at = ways.join(refs, "way_id").select("root", "role", "node_id", F.concat("path", pad("pos")).alias("place"))
     first = at.where("role in ('outer', 'inner')").groupBy("root", "role", "node_id").agg(F.min("place").alias("place"))
     has_outer = F.max(F.when(F.col("role") == "outer", True).otherwise(False)).over(Window.partitionBy("root", "node_id"))
