@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Relations nest no deeper than this; the expansion stops earlier when nothing new is found.
+#: Levels of relations that are followed at most; more raise an error, and the expansion ends when nothing new is found.
 DEEPEST = 16
 
 
@@ -41,16 +41,19 @@ def expand_once(known: DataFrame, members: DataFrame) -> DataFrame:
 def closure(roots: DataFrame, members: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """root, id, depth of every relation under each root (id), itself included at depth 0; cycles end.
 
-    Joins are repeated until a level is empty; each level holds every pair at its smallest depth only.
+    Joins are repeated until a level is empty; each level holds every pair at its smallest depth only.  ValueError
+    if relations are found below level deepest.
     """
     edges = members.where("type = 2").select(F.col("rel_id").alias("id"), F.col("ref").alias("child"))
     level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
     out = level
-    for depth in range(1, deepest + 1):
+    for depth in range(1, deepest + 2):
         found = level.join(edges, "id").select("root", F.col("child").alias("id")).distinct()
         level = found.join(out.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"))
         if not level.head(1):
             break
+        if depth > deepest:
+            raise ValueError(f"relations are nested more than {deepest} levels deep")
         out = out.unionByName(level)
     return out
 

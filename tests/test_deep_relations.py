@@ -18,3 +18,10 @@ def test_region_below_three_levels(spark):
     assert [x.node_id for x in got] == [1006, 1005, 1004, 1003, 1002, 1001]
     with pytest.raises(ValueError):
         topology.region_vertices(roots, members, refs, deepest=4)
+
+
+def test_closure_says_when_it_ends_early(spark):
+    roots, members, _ = chain(spark, 6)
+    assert topology.closure(roots, members, deepest=5).count() == 6
+    with pytest.raises(ValueError):
+        topology.closure(roots, members, deepest=4)
