@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of relations that are followed at most; more raise an error, and the expansion ends when nothing new is found.
-DEEPEST = 16
+from geoloom.scratch import drop_scratch, materialize
+
+#: Digits of a member's position in a path: as many as an int has.
+PLACE_DIGITS = 10
 
 
 def explode_refs(ways: DataFrame) -> DataFrame:
@@ -38,45 +42,45 @@ def expand_once(known: DataFrame, members: DataFrame) -> DataFrame:
     return children.select(F.col("ref").alias("id")).distinct().join(known, "id", "left_anti")
 
 
-def closure(roots: DataFrame, members: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """root, id, depth of every relation under each root (id), itself included at depth 0; cycles end.
+def closure(roots: DataFrame, members: DataFrame) -> DataFrame:
+    """root, id, depth of every relation under each root (id), itself included at depth 0, however deep; cycles end.
 
-    Joins are repeated until a level is empty; each level holds every pair at its smallest depth only.  ValueError
-    if relations are found below level deepest.
+    Each level holds every pair at its smallest depth only and is written to the shared folder, so that no level is
+    computed twice; the walk ends with the level that is empty.
     """
-    edges = members.where("type = 2").select(F.col("rel_id").alias("id"), F.col("ref").alias("child"))
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, deepest + 2):
+    edges = materialize(members.where("type = 2").select(F.col("rel_id").alias("id"), F.col("ref").alias("child")).distinct(), "child-relations")
+    level = materialize(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "closure-0")
+    out, depth = level, 0
+    while level.head(1):
+        depth += 1
         found = level.join(edges, "id").select("root", F.col("child").alias("id")).distinct()
-        level = found.join(out.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"))
-        if not level.head(1):
-            break
-        if depth > deepest:
-            raise ValueError(f"relations are nested more than {deepest} levels deep")
+        new = found.join(out.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"))
+        level = materialize(new, f"closure-{depth}")
         out = out.unionByName(level)
+    drop_scratch(edges)
     return out
 
 
-def region_vertices(roots: DataFrame, members: DataFrame, refs: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """root, role, node_id, place: vertices met by walking relations, ways and nodes in order, each once.
+def region_vertices(roots: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
+    """root, role, node_id, place: vertices met by walking relations, ways and nodes in order, each once, however deep.
 
     A path of zero-padded member positions sorts like the depth-first walk.  Way roles are outer and inner; a
     node is kept at its first place, and an inner one only if no outer way of the root has it.  A relation within
-    itself is not entered again.  ValueError if relations are found below level deepest.
+    itself is not entered again.  Each level of relations is written to the shared folder; the walk ends with the
+    level that is empty.
     """
-    pad = lambda c: F.concat(F.lpad(F.col(c).cast("string"), 7, "0"), F.lit("/"))
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("rel_id"), F.lit("").alias("path"), F.array("id").alias("within"))
-    ways = None
-    for _ in range(deepest + 1):
-        step = level.join(members.where("type in (1, 2)"), "rel_id").withColumn("path", F.concat("path", pad("pos")))
+    pad = lambda c: F.concat(F.lpad(F.col(c).cast("string"), PLACE_DIGITS, "0"), F.lit("/"))
+    members = materialize(members.where("type in (1, 2)").select("rel_id", "pos", "type", "ref", "role"), "region-members")
+    level = roots.select(F.col("id").alias("root"), F.col("id").alias("rel_id"), F.lit("").alias("path"), F.array("id").alias("within")).distinct()
+    level = materialize(level, "region-0")
+    ways, depth = None, 0
+    while ways is None or level.head(1):
+        depth += 1
+        step = level.join(members, "rel_id").withColumn("path", F.concat("path", pad("pos")))
         found = step.where("type = 1").select("root", "role", F.col("ref").alias("way_id"), "path")
         ways = found if ways is None else ways.unionByName(found)
-        level = step.where("type = 2 and not array_contains(within, ref)").select("root", F.col("ref").alias("rel_id"), "path", F.concat("within", F.array("ref")).alias("within"))
-        if not level.head(1):
-            break
-    else:
-        raise ValueError(f"relations are nested more than {deepest} levels deep")
+        below = step.where("type = 2 and not array_contains(within, ref)").select("root", F.col("ref").alias("rel_id"), "path", F.concat("within", F.array("ref")).alias("within"))
+        level = materialize(below, f"region-{depth}")
     at = ways.join(refs, "way_id").select("root", "role", "node_id", F.concat("path", pad("pos")).alias("place"))
     first = at.where("role in ('outer', 'inner')").groupBy("root", "role", "node_id").agg(F.min("place").alias("place"))
     has_outer = F.max(F.when(F.col("role") == "outer", True).otherwise(False)).over(Window.partitionBy("root", "node_id"))
@@ -88,22 +92,31 @@ def stitch(ways: DataFrame) -> DataFrame:
 
     ways: rel_id, pos, node_ids.  The first way begins; a later way whose first node is the open end follows it,
     one whose last node is the open end follows reversed; others wait.  joined is false where no way fits: the
-    path then goes on with the next waiting way.  Sequential within a relation, so one group is one task's work;
-    a group is one relation's ways.
+    path then goes on with the next waiting way.  Sequential within a relation, so one group is one task's work:
+    a group is one relation's ways, and its work grows in proportion to their nodes.
     """
 
     def fold(table: pa.Table) -> pa.Table:
         rows = table.sort_by("pos")
-        waiting = [list(x) for x in rows["node_ids"].to_pylist() if x]
-        path, flags = [], []
-        while waiting:
-            end = path[-1] if path else None
-            hit = next((i for i, w in enumerate(waiting) if end in (w[0], w[-1])), None) if path else 0
-            way = waiting.pop(0 if hit is None else hit)
-            if hit is not None and path and way[0] != end:
+        waiting = [x for x in rows["node_ids"].to_pylist() if x]
+        ends = defaultdict(deque)  # ways that begin or end at a node, in member order
+        for i, way in enumerate(waiting):
+            for node in {way[0], way[-1]}:
+                ends[node].append(i)
+        used, upto, path, flags = [False] * len(waiting), 0, [], []
+        for _ in waiting:
+            fitting = ends[path[-1]] if path else ()
+            while fitting and used[fitting[0]]:
+                fitting.popleft()
+            while used[upto]:
+                upto += 1
+            hit = bool(fitting)
+            i = fitting[0] if hit else upto
+            used[i], way = True, waiting[i]
+            if hit and way[0] != path[-1]:
                 way = way[::-1]
-            fresh = way[1:] if path and hit is not None else way
-            flags += [hit is not None or i > 0 for i in range(len(fresh))]
+            fresh = way[1:] if hit else way
+            flags += [hit or k > 0 for k in range(len(fresh))]
             path += fresh
         rel = rows["rel_id"][0].as_py()
         return pa.table({"rel_id": pa.array([rel] * len(path), pa.int64()), "place": pa.array(range(len(path)), pa.int32()), "node_id": pa.array(path, pa.int64()), "joined": pa.array(flags, pa.bool_())})

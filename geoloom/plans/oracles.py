@@ -61,7 +61,7 @@ _SELECTS = {
     "expand_relations_once": "select distinct ref as id from members where type = 2 and rel_id >= 2000000000 and ref not in (select id from relations where id >= 2000000000)",
     "relation_closure": "select id as root, id, 0::int as depth from relations where id >= 2000000000 union all select rel_id, ref, 1 from members where type = 2 and rel_id >= 2000000000 union all select a.rel_id, b.ref, 2 from members a join members b on b.rel_id = a.ref and b.type = 2 where a.type = 2 and a.rel_id >= 2000000000",
     "region_vertices": """, walk as (
-  select a.rel_id as root, c.role, r.node_id, lpad(a.pos::varchar, 7, '0') || '/' || lpad(b.pos::varchar, 7, '0') || '/' || lpad(c.pos::varchar, 7, '0') || '/' || lpad(r.pos::varchar, 7, '0') || '/' as place
+  select a.rel_id as root, c.role, r.node_id, lpad(a.pos::varchar, 10, '0') || '/' || lpad(b.pos::varchar, 10, '0') || '/' || lpad(c.pos::varchar, 10, '0') || '/' || lpad(r.pos::varchar, 10, '0') || '/' as place
   from members a join members b on b.rel_id = a.ref and b.type = 2 join members c on c.rel_id = b.ref and c.type = 1 join way_refs r on r.way_id = c.ref where a.type = 2 and a.rel_id >= 2000000000
 ), f as (select root, role, node_id, min(place) as place from walk group by all)
 select * from f where role = 'outer' or (root, node_id) not in (select (root, node_id) from f where role = 'outer')""",
