@@ -83,8 +83,8 @@ def text(lat: Column, lon: Column) -> Column:
     return F.concat_ws(", ", lat.cast("string"), lon.cast("string"))
 
 
-def crosses(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Whether the half line from (x, y) to the left crosses an edge with y1 <= y2; whole numbers, no rounding.
+def crossing(y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Where an edge with y1 < y <= y2 meets the row y; whole numbers, no rounding, between x1 and x2 and monotone in y.
 
     World-sized edges overflow a long, so the product is a decimal where it could.
     """
@@ -94,6 +94,10 @@ def crosses(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column
     step = F.when(fits, F.call_function("div", F.when(fits, small).otherwise(F.lit(0).cast("long")), F.lit(2) * y2 - F.lit(2) * y1)).otherwise(
         F.call_function("div", wide, (F.lit(2) * y2 - F.lit(2) * y1).cast("decimal(19,0)"))
     )
-    inside = (y > y1) & (y <= y2)
-    return F.when(~inside | ((x1 > x) & (x2 > x)), F.lit(False)).otherwise(step + x1 <= x)
+    return step + x1
+
 
+def crosses(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether the half line from (x, y) to the left crosses an edge with y1 <= y2."""
+    inside = (y > y1) & (y <= y2)
+    return F.when(~inside | ((x1 > x) & (x2 > x)), F.lit(False)).otherwise(crossing(y, x1, y1, x2, y2) <= x)
