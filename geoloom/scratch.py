@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,11 +16,30 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _uri(at) -> str:
+    out = at.toString()
+    return "file://" + out.removeprefix("file:") if out.startswith("file:/") and not out.startswith("file://") else out
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """path with its scheme and authority: one without is of the default file system, on every machine alike."""
     files, at = _hadoop(spark, path)
-    out = files.makeQualified(at).toString()
-    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
+    return _uri(files.makeQualified(at))
+
+
+def arrow_folder(spark: SparkSession, path: str) -> str:
+    """The URI of the folder path, made here if need be, for readers and writers that go through Arrow's file systems.
+
+    Mounts are followed to what they stand for.  ValueError for a store that Arrow can't open.
+    """
+    files, at = _hadoop(spark, qualified(spark, path))
+    files.mkdirs(at)
+    out = _uri(files.resolvePath(at))
+    try:
+        fs.FileSystem.from_uri(out)
+    except (pa.ArrowException, OSError) as e:
+        raise ValueError(f"{out} is not in a store that Arrow opens (a file, hdfs, s3 or gs path is)") from e
+    return out
 
 
 def shared_root(spark: SparkSession) -> str:
