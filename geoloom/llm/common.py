@@ -1,18 +1,22 @@
-"""What the operators of this subpackage share: scratch tables, skew-safe joins, words, seeded hashes."""
+"""What the operators of this subpackage share: skew-safe joins, words, seeded hashes, and the core's scratch tables.
+
+Results are lazy and read scratch tables in the shared folder until they are written or read; geoloom.scratch.clear_scratch()
+then removes all of them.
+"""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.scratch import drop_path, drop_scratch, materialize, scratch_path  # noqa: F401
+
 #: A key is hot when it has at least this share of all rows: no more than 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 1 / 1000
 #: Keys with fewer rows than this are never hot.
@@ -22,41 +26,6 @@ BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/geoloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def drop_scratch(*frames: DataFrame) -> None:
-    """Delete tables of materialize() that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """left LEFT JOIN right on key; right has one row a key and, in weight, how many rows of left have it.
 
@@ -109,6 +78,14 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield b"" if (b := x.as_buffer() if hasattr(x, "as_buffer") else None) is None else b.to_pybytes()
 
 
+def own_name(name: str, *frames: DataFrame) -> str:
+    """name, or name with as many underscores before it as make it a name that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def scan_partitions(df: DataFrame) -> int:
     """How many tasks scan df: a measure of its size that needs no job."""
     return max(1, df.rdd.getNumPartitions())

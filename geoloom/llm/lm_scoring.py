@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import mixed, scratch_path, texts_of, word_blocks, word_hashes
+from geoloom.scratch import arrow_folder
 
 #: Words that the uniform estimate is spread over at least; as many as there are where the documents have more.
 VOCABULARY = 2048
@@ -33,8 +34,8 @@ _BLOCK = "block long, row array<long>, doc_id array<long>, before array<long>, n
 
 def _stored(df: DataFrame, name: str, *by: str) -> str:
     """The folder in the shared one that df is written to, parted by columns."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    path = arrow_folder(df.sparkSession, scratch_path(df.sparkSession, name))
+    df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
     return path
 
 

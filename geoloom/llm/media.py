@@ -9,6 +9,7 @@ and repeated tasks do no harm.  A digest is stored once a shard.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import tarfile
 import uuid
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from geoloom.llm.common import materialize, scratch_path, texts_of
+from geoloom.scratch import arrow_folder
 
 #: A shard is closed when it has so many bytes.
 SHARD_BYTES = 256 << 20
+#: Stored bytes that a task reads back, and the parts of shards by which they are dealt.
+READ_BYTES, PART_BYTES = 16 << 20, 2 << 20
 #: Samples of a row of the image; a payload is a positive multiple of it.
 WIDTH = 576
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -88,10 +92,11 @@ def store(docs: DataFrame, root: str | None = None) -> DataFrame:
     """doc_id, n_bytes, digest, shard, offset, length of every row of docs (doc_id, text): its payload is stored under root.
 
     A null text is empty; every row gets a place, equal texts of a shard the same one.  The rows are written to
-    the shared folder, so that the shards they name are never written again.
+    the shared folder, so that the shards they name are never written again.  A root without a scheme is of the
+    cluster's default file system; one in a store that Arrow can't open is an error.
     """
     spark = docs.sparkSession
-    root = root or scratch_path(spark, "media")
+    root = arrow_folder(spark, root or scratch_path(spark, "media"))
 
     def write(batches):
         files, folder = fs.FileSystem.from_uri(root)
@@ -161,8 +166,22 @@ def with_metadata(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, _more(rows, "format string, width int, height int, depth int, channels int"))
 
 
-def with_contents(rows: DataFrame) -> DataFrame:
-    """rows of store() with what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_sha256, feature."""
+def dealt(rows: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """rows of store() dealt to tasks by the stored bytes that they name, in the order of those bytes.
+
+    Rows that name the same bytes come after one another, and count their bytes once each.
+    """
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    part = F.floor(F.col("offset") / PART_BYTES)
+    return rows.repartition(max(1, math.ceil(total / read_bytes)), F.col("shard"), part).sortWithinPartitions("shard", "offset")
+
+
+def with_contents(rows: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """rows of store() with what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_sha256, feature.
+
+    About read_bytes of shards are a task's share.
+    """
+    rows = dealt(rows, read_bytes)
 
     def read(batches):
         ranges, last, got = _Ranges(), None, None

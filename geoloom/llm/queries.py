@@ -59,7 +59,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an image in a tar shard, read back."""
-    rows = media.with_contents(media.with_metadata(media.store(table(spark, sf_dir, "documents"))))
+    rows = media.with_metadata(media.with_contents(media.store(table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height")
 
 

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import tarfile
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -77,6 +79,29 @@ def test_license_rows(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def plain_feature(payload):
+    n, mean = len(payload), sum(payload) / len(payload)
+    share = [payload.count(b) / n for b in set(payload)]
+    runs = [payload[i * n // 64 : (i + 1) * n // 64] for i in range(64)]
+    above = "".join("1" if sum(r) > mean * len(r) else "0" for r in runs)
+    return f"{mean:.4f}:{(sum((b - mean) ** 2 for b in payload) / n) ** 0.5:.4f}:{-sum(p * math.log2(p) for p in share):.4f}:{int(above, 2):016x}"
+
+
+def test_media_reads_are_dealt_by_bytes(spark, tmp_path):
+    """Few narrow rows name many bytes: the bytes decide how many tasks read them, and equal rows stay in order."""
+    r = random.Random(2)
+    texts = ["".join(chr(r.randrange(33, 126)) for _ in range(200_000)) for _ in range(24)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, "copy") for i in range(50)], "doc_id long, text string").repartition(3)
+    rows = media.store(docs, str(tmp_path / "shards"))
+    assert rows.first().shard.startswith("file:///")
+    total = rows.agg({"length": "sum"}).first()[0]
+    dealt = media.dealt(rows, read_bytes=total // 6)
+    assert dealt.rdd.getNumPartitions() in (6, 7) and dealt.count() == 74
+    assert media.with_contents(rows, read_bytes=total // 6).select("doc_id", "payload_bytes").distinct().count() == 74
+    with pytest.raises(Exception, match="(?i)scheme|store"):
+        media.store(docs, "unknown-store://bucket/shards")
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "x" * 575, "x" * 576, "x" * 577, "ü" * 5000, "", "same", "same"] + [f"text {i} " * i for i in range(40)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(None, "same", "clash")], "doc_id long, text string, digest string").repartition(2)
@@ -88,6 +113,12 @@ def test_media_round_trip(spark):
         assert len(payload) % 576 == 0 and len(payload) >= 576 and payload.startswith(data) and set(payload[len(data) :]) <= {255} and len(payload) - len(data) < 576 + (not data)
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, bytes(x.digest)) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), hashlib.sha256(payload).digest())
         assert (x.width * x.height, x.depth, x.channels) == (len(payload), 8, 1)
+        assert x.tail_crc32 == zlib.crc32(payload[-32:])
+        shards, at = fs.FileSystem.from_uri(x.shard)
+        with shards.open_input_file(at) as f:
+            stored = f.read_at(x.length, x.offset)
+        assert x.media_sha256 == hashlib.sha256(stored).hexdigest()
+        assert x.feature == plain_feature(payload)
     assert len({(x.payload_sha256, x.feature, x.media_sha256, x.length) for x in rows}) == len({x.payload_sha256 for x in rows})
     files, path = fs.FileSystem.from_uri(rows[0].shard)
     with tarfile.open(path) as tar:
