@@ -44,6 +44,23 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     return first.unionByName(rest)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left JOIN right on key; right has one row a key, of any width.
+
+    The rows of a key with HOT_SHARE of all rows of left or more are dealt by a hash of the column `by` over as many
+    parts as it has such shares, and its row of right is sent to each.  Only hot keys and their numbers of parts are
+    broadcast: at most 1 / HOT_SHARE rows, whatever the size of the input.  left is read three times and should be a
+    stored table.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    share = max(HOT_LEAST, int(left.count() * HOT_SHARE))
+    hot = F.broadcast(counts.where(F.col("_n") >= share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def word_blocks(data: bytes) -> Iterator[list[bytes]]:
     """Words of data, split at the six ASCII white-space characters, a block of about BLOCK_BYTES at a time."""
     if len(data) <= BLOCK_BYTES:
@@ -78,12 +95,18 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield b"" if (b := x.as_buffer() if hasattr(x, "as_buffer") else None) is None else b.to_pybytes()
 
 
-def own_name(name: str, *frames: DataFrame) -> str:
-    """name, or name with as many underscores before it as make it a name that no column of the frames has."""
-    taken = {c.lower() for df in frames for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def veiled(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but those used under names that no operator has, and the new name of every column.
+
+    So no column of the caller's meets one of an operator's own.
+    """
+    names = {c: c if c.lower() in used else f"_of_the_input_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unveiled(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns that veiled() renamed under their own names, but for those also in more, then the columns in more."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items() if c.lower() not in more), *more)
 
 
 def scan_partitions(df: DataFrame) -> int:

@@ -14,10 +14,12 @@ def remainder(folds: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """doc_id, text, y of at most `most` labelled rows outside the fold `held`: those with the smallest md5 of doc_id.
 
-    Documents labelled more than once take the mean label.  The picked ids (at most `most`, so a broadcast of
+    Documents labelled more than once take the mean label; of rows that repeat a doc_id with other texts the least
+    text counts, so that reruns learn alike.  The picked ids (at most `most`, so a broadcast of
     bounded size) meet the texts by broadcast, and no text is shuffled.
     """
     named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(folds) != held))
     named = named.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
     picked = named.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

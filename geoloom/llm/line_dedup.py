@@ -9,6 +9,7 @@ is shuffled; FANOUT runs of one level are merged into one run of the next.  Hash
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -17,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import drop_scratch, join_unique, materialize, scan_partitions, scratch_path, texts_of
+from geoloom.llm.common import drop_path, drop_scratch, join_unique, materialize, scan_partitions, scratch_path, texts_of, unveiled, veiled
 
 #: Runs of a level that are merged into one of the next.
 FANOUT = 3
+#: Batches of documents at least, and line hashes of a batch at most.
+BATCHES, BATCH_LINES = 4, 1_000_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
 #: Bytes that continue a UTF-8 character: no code point begins with them.
 _CONTINUES = bytes(range(0x80, 0xC0))
@@ -34,18 +37,21 @@ def keys_of(lines: list[bytes], least: int) -> Iterator[bytes | None]:
 
 
 class Runs:
-    """Levelled sorted runs of 16-byte hashes, kept in the shared folder."""
+    """Levelled sorted runs of 16-byte hashes, kept in the shared folder.
+
+    Only tables of a catalog can be bucketed, so runs are named in the session's own until drop().
+    """
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.levels = spark, buckets, []
 
     def _write(self, hashes: DataFrame, level: int) -> None:
-        name, path = f"line_run_{uuid.uuid4().hex}", scratch_path(self.spark, f"line-run-{level}")
+        name, path = f"spark_catalog.default.line_run_{uuid.uuid4().hex}", scratch_path(self.spark, f"line-run-{level}")
         dealt = hashes.select("h").repartition(self.buckets, "h")
-        dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, path))
+        self.levels[level].append((name, path))  # first, so that drop() finds it whatever happens
+        dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
 
     def all(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
@@ -55,20 +61,19 @@ class Runs:
         self._write(hashes, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= FANOUT:
-            old, self.levels[level] = self.levels[level], []
+            old = self.levels[level]
             merged = self.spark.table(old[0][0])
             for name, _ in old[1:]:
                 merged = merged.unionByName(self.spark.table(name))
             self._write(merged, level + 1)
+            self.levels[level] = []
             self._drop(old)
             level += 1
 
     def _drop(self, runs: list[tuple[str, str]]) -> None:
         for name, path in runs:
-            self.spark.sql(f"drop table {name}")
-            gone = self.spark.range(0)
-            gone.scratch = path
-            drop_scratch(gone)
+            self.spark.sql(f"drop table if exists {name}")
+            drop_path(self.spark, path)
 
     def drop(self) -> None:
         for level in self.levels:
@@ -76,8 +81,11 @@ class Runs:
         self.levels = []
 
 
-def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFrame:
-    """_key, gone: for each document that loses lines its doc_id and their hashes."""
+def repeated_lines(docs: DataFrame, least: int = 10, batches: int | None = None) -> DataFrame:
+    """_key, gone: for each document that loses lines its doc_id and their hashes.
+
+    batches: BATCHES, or as many as leave each BATCH_LINES hashes.
+    """
     spark = docs.sparkSession
 
     def hashes(parts):
@@ -91,37 +99,46 @@ def repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFr
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("k"), "text").mapInArrow(hashes, "k long, h binary")
     rows = materialize(rows, "line-hashes")
+    batches = batches or max(BATCHES, math.ceil(rows.count() / BATCH_LINES))
     edges = rows.agg(F.percentile_approx("k", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     lows = [None, *sorted(set(edges))]
     runs = Runs(spark, max(4, min(20_000, 2 * scan_partitions(rows))))
-    gone, kept = None, []
-    for i, low in enumerate(lows):
-        batch = rows if low is None else rows.where(F.col("k") > low)
-        batch = batch.where(F.col("k") <= lows[i + 1]) if i + 1 < len(lows) else batch
-        own = batch.groupBy("h").agg(F.min("k").alias("owner"), F.count("*").alias("w")).withColumn("seen", F.lit(False))
-        for run in runs.all():
-            own = own.join(run.withColumn("_found", F.lit(True)), "h", "left").withColumn("seen", F.col("seen") | F.col("_found").isNotNull()).drop("_found")
-        own = materialize(own, "line-owners")
-        lost = join_unique(batch, own, "h", "w").where("seen or k > owner").select("k", "h")
-        lost = materialize(lost, "line-lost")
-        gone = lost if gone is None else gone.unionByName(lost)
-        if i + 1 < len(lows):
-            runs.add(own.where("not seen"))
-        kept.append(own)
-    runs.drop()
-    drop_scratch(*kept)
-    return gone.distinct().groupBy(F.col("k").alias("_key")).agg(F.collect_list("h").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFrame:
+    losses = []
+    try:
+        for i, low in enumerate(lows):
+            batch = rows if low is None else rows.where(F.col("k") > low)
+            batch = batch.where(F.col("k") <= lows[i + 1]) if i + 1 < len(lows) else batch
+            own = batch.groupBy("h").agg(F.min("k").alias("owner"), F.count("*").alias("w")).withColumn("seen", F.lit(False))
+            for run in runs.all():
+                own = own.join(run.withColumn("_found", F.lit(True)), "h", "left").withColumn("seen", F.col("seen") | F.col("_found").isNotNull()).drop("_found")
+            own = materialize(own, "line-owners")
+            lost = join_unique(batch, own, "h", "w").where("seen or k > owner").select("k", "h")
+            losses.append(materialize(lost, "line-lost"))
+            if i + 1 < len(lows):
+                runs.add(own.where("not seen"))
+            drop_scratch(own)
+    finally:
+        runs.drop()
+    drop_scratch(rows)
+    gone = losses[0]
+    for lost in losses[1:]:
+        gone = gone.unionByName(lost)
+    # a pair of a document and a line is found in the batch of the document alone
+    gone = materialize(gone.distinct().groupBy(F.col("k").alias("_key")).agg(F.collect_list("h").alias("gone")), "lines-gone")
+    drop_scratch(*losses)
+    return gone
+
+
+def dedup_lines(docs: DataFrame, least: int = 10, batches: int | None = None) -> DataFrame:
     """docs without the lines that a document of smaller doc_id has, with _n_lines and _n_dropped added.
 
-    docs: doc_id, text and any other columns, all kept (`_n_lines`, `_n_dropped`, `_key`, `_salt`, `gone` are replaced).
+    docs: doc_id, text and any other columns, all kept (`_n_lines` and `_n_dropped` are replaced).
     Texts are split at \\n; null and empty texts are one empty line and become empty.  Keys shorter than `least`
     code points stay.  Within its owner a key keeps all its lines.  Rows that repeat a doc_id count as one
     document; rows with a null doc_id own no line and lose none.
     """
-    docs = docs.drop("_n_lines", "_n_dropped", "_key", "_salt", "gone").withColumn("text", F.col("text").cast("string"))
+    docs, names = veiled(docs.drop("_n_lines", "_n_dropped"), "doc_id", "text")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     lost = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, batches)
     # rows without a doc_id match nothing; the salt spreads them over the tasks
     salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
@@ -144,4 +161,4 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFrame
             columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*(f.name for f in fields), "_n_lines", "_n_dropped"])
 
-    return joined.mapInArrow(cut, schema)
+    return unveiled(joined.mapInArrow(cut, schema), names, "_n_lines", "_n_dropped")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import drop_scratch, materialize
+from geoloom.llm.common import drop_scratch, materialize, unveiled, veiled
 
 #: A document's place in its source is a hash of 48 bits, read 12 bits a level.
 LEVELS, LEVEL_BITS = 4, 12
@@ -64,13 +64,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) ->
     the budget ends, only that bucket is split further, and at 48 bits the last bucket is taken if that brings
     the source nearer to its target.  Nothing is sorted and no row moves; equal rows stand or fall together.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    docs, names = veiled(docs, "doc_id", "text", "source")
     sized = docs.withColumns({"size": n_words(F.col("text")), "_place": place(F.col("doc_id"), F.col("text"))})
     narrow = materialize(sized.select("source", "size", "_place"), "sizes")
     sources, state = _thresholds(narrow, weights, most)
+    drop_scratch(narrow)
     out = _with(sized, state, sources <= BROADCAST_SOURCES)
     out = out.withColumn("copies", (F.col("_full") + (F.col("_place") < F.col("_below")).cast("long")))
-    return out.drop("_place", "_full", "_below")
+    return unveiled(out, names, "size", "source_size", "target", "copies")
 
 
 def mixed_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
