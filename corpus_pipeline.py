@@ -1,4 +1,7 @@
-"""A training corpus from documents: toxicity, line dedup, near duplicates, mixing, packing."""
+"""A training corpus from documents: toxicity, line dedup, near duplicates, mixing, packing.
+
+Stages keep every column of the documents as it is, whatever its name; line dedup changes text and n_chars.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from geoloom.llm.common import materialize
+from geoloom.llm.common import materialize, unveiled, veiled
 from geoloom.llm.queries import TOKENIZER, table
 
 #: Documents with at least this score are toxic and go.
@@ -15,14 +18,16 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") < TOXIC).select(docs.columns)
+    plain, names = veiled(docs, "doc_id", "text")
+    scored = toxicity.score_toxicity(plain, table(spark, sf_dir, "labels"))
+    return unveiled(scored.where(F.col("score") < TOXIC), names)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    plain, names = veiled(docs, "doc_id", "text", "n_chars")
+    kept = line_dedup.dedup_lines(plain)
+    return unveiled(kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept, names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return mixed.select(docs.columns)
+    plain, names = veiled(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(plain).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return unveiled(mixed, names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
