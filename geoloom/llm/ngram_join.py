@@ -21,6 +21,7 @@ are compared, no link between different texts is lost, and no group is expanded
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import drop_scratch, join_unique, materialize, mixed, scan_partitions, texts_of, word_hashes
+from geoloom.llm.common import drop_scratch, join_salted, join_unique, materialize, mixed, scan_partitions, texts_of, word_hashes
 from geoloom.llm.components import connected_components
 
 #: Signature groups of up to so many classes give all their pairs.
@@ -39,7 +40,9 @@ MOST_FREQUENT = 1 << 18
 #: A signature whose tokens have more postings than this is split into salted parts, each with its own star.
 SALT_ABOVE = 20_000
 #: Members of a block of signature groups, and of families, in the second round; columns of a block's matrix.
-BLOCK, FAMILY_BLOCK, COLUMNS = 2048, 1024, 4096
+BLOCK, FAMILY_BLOCK, COLUMNS = 1024, 1024, 4096
+#: Bytes of bitmaps or token sets that fill a block with fewer members.
+BLOCK_BYTES = 16 << 20
 #: Candidate documents up to this number (8 MB of ids) are picked by broadcast, beyond it by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -274,6 +277,11 @@ def _groups(sets: DataFrame, t: int, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(group, "kind int, a long, b long")
 
 
+def _both(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """pairs (a, b; a stored table) with the columns of x by a and of y by b.  a can be the middle of very large stars."""
+    return join_salted(pairs, x, "a", "b").join(y, "b")
+
+
 def _close(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
     """The pairs that the bound on the symmetric difference leaves."""
 
@@ -289,7 +297,7 @@ def _close(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
 
     x = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
     y = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long")
+    return _both(pairs, x, y).select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long")
 
 
 def _linked(pairs: DataFrame, tokens: DataFrame, t: int) -> DataFrame:
@@ -306,7 +314,7 @@ def _linked(pairs: DataFrame, tokens: DataFrame, t: int) -> DataFrame:
 
     x = tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     y = tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return _both(pairs, x, y).select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def _tokens(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -321,13 +329,19 @@ def _tokens(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Da
             sets = [u for u in sets if len(u)]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["cls", "tokens"])
 
-    return materialize(picked.mapInArrow(make, "cls long, tokens binary").dropDuplicates(["cls"]), "tokens")
+    out = materialize(picked.mapInArrow(make, "cls long, tokens binary").dropDuplicates(["cls"]), "tokens")
+    drop_scratch(ids)
+    return out
+
 
+def _parts(size, size_of_all, block: int):
+    """Into how many blocks a group of so many members and bytes is cut."""
+    return F.greatest(F.ceil(size / block), F.ceil(size_of_all / BLOCK_BYTES)).cast("int")
 
-def _blocks(members: DataFrame, key: str, block: int, columns: list[str]) -> DataFrame:
-    """members of each key cut by hash into blocks, once for every two blocks; side: 0 first, 2 second, 1 both."""
-    dealt = members.withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+
+def _blocks(members: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """members of each key cut by hash into `parts` blocks, once for every two blocks; side: 0 first, 2 second, 1 both."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     return dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cls", "component", *columns).groupBy(key, "i", "j")
@@ -353,10 +367,14 @@ class _Forest:
 
 
 def _apart(members: DataFrame, t: int) -> DataFrame:
-    """A forest over the members of a signature group whose components differ and whose bitmaps allow a link."""
+    """A forest over the members of a signature group whose components differ and whose bitmaps allow a link.
+
+    Two members that are both high are left to the group of the next cell.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         cls, label, n, side = (table.column(c).to_numpy() for c in ("cls", "component", "n", "side"))
+        high = table.column("high").to_numpy().astype(bool)
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
         forest = _Forest(cls, np.arange(len(cls)))  # of rows: every row that may link across components must be tied
@@ -368,13 +386,13 @@ def _apart(members: DataFrame, t: int) -> DataFrame:
             low = min(size, *(len(raw[i]) for i in ys))
             wide = np.stack([folded(raw[i], low) for i in ys]).view(np.uint64)
             for i in xs:
-                ok = np.flatnonzero((label[ys] != label[i]) & (forest.component[ys] != forest.component[i]) & (np.minimum(n[ys], n[i]) * 100 >= np.maximum(n[ys], n[i]) * t))
+                ok = np.flatnonzero((label[ys] != label[i]) & ~(high[ys] & high[i]) & (forest.component[ys] != forest.component[i]) & (np.minimum(n[ys], n[i]) * 100 >= np.maximum(n[ys], n[i]) * t))
                 if len(ok):
                     apart = np.bitwise_count(wide[ok] ^ folded(raw[i], low).view(np.uint64)).sum(1)
                     forest.join(i, ys[ok[apart <= most_apart(n[ys[ok]], n[i], t)]])
         return forest.table()
 
-    return _blocks(members, "sig", BLOCK, ["n", "bits"]).applyInArrow(compare, "a long, b long")
+    return _blocks(members, "cell", ["n", "high", "bits"]).applyInArrow(compare, "a long, b long")
 
 
 def _resolved(members: DataFrame, t: int) -> DataFrame:
@@ -404,7 +422,7 @@ def _resolved(members: DataFrame, t: int) -> DataFrame:
             forest.join(i, np.flatnonzero(right & (100 * both >= t * (n + n[i] - both))))
         return forest.table()
 
-    return _blocks(members, "family", FAMILY_BLOCK, ["tokens"]).applyInArrow(compare, "a long, b long")
+    return _blocks(members, "family", ["tokens"]).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, frequent: int = SMALL + 1) -> DataFrame:
@@ -418,7 +436,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, frequent: int = SM
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = min(100_000, 64 + 8 * scan_partitions(docs))
+    buckets = 64 + 8 * scan_partitions(docs)  # grows with the input, so that a bucket doesn't
     ft = spark.sparkContext.broadcast(_frequent_tokens(docs, k, t, frequent, buckets))
     sets = materialize(_sets(docs, k, t, ft), "sets")
     groups = materialize(_groups(sets, t, buckets), "groups")
@@ -427,39 +445,59 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, frequent: int = SM
 
     pivots = groups.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     heads = pivots.groupBy("sig").agg(F.min("cls").alias("a")).join(pivots, "sig").where("a <> cls").select("a", F.col("cls").alias("b"))
-    pairs = groups.where("kind = 0").select("a", "b").unionByName(heads).distinct()
+    pairs = materialize(groups.where("kind = 0").select("a", "b").unionByName(heads).distinct(), "pairs")
     near = materialize(_close(pairs, classes, t), "near")
     tokens = _tokens(docs, classes, near, k)
     links = materialize(_linked(near, tokens, t), "links")
+    drop_scratch(pairs, near, tokens)
     labels = materialize(_labels(links, classes), "labels")
 
     members = groups.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     sizes = members.groupBy("cls").agg(F.count("*").alias("w"))
     known = sizes.join(labels, "cls", "left").join(classes.select("cls", "rep", "n", "bits"), "cls")
     known = materialize(known.select("cls", F.coalesce("component", "rep").alias("component"), "n", "bits", "w"), "known")
-    marked = join_unique(members, known.select("cls", "component", "w"), "cls", "w")
-    open_ = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    open_ = materialize(open_.select("sig", "size", F.col("size").alias("w")), "open")
-    left = join_unique(members, open_, "sig", "w").where("size is not null")
-    left = materialize(left, "left")
-    weights = left.groupBy("cls").agg(F.count("*").alias("w"))
-    left = join_unique(left, known.drop("w").join(weights, "cls"), "cls", "w")
-    forest = materialize(_apart(left, t).distinct(), "forest")
+    marked = materialize(_cells(join_unique(members, known.select("cls", "component", "n", "w"), "cls", "w"), t), "marked")
+    drop_scratch(groups)
+    open_ = marked.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w"), F.sum("n").alias("all")).where("lo < hi")
+    open_ = materialize(open_.select("cell", _parts(F.col("w"), F.col("all") / 2, BLOCK).alias("parts"), "w"), "open")
+    left = materialize(join_unique(marked.select("cell", "high", "cls"), open_, "cell", "w").where("parts is not null"), "left")
+    forest = materialize(_apart(join_salted(left, known.drop("w"), "cls", "cell"), t).distinct(), "forest")
+    drop_scratch(marked, open_, left)
     if forest.head(1):
         family = connected_components(forest.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        family = materialize(family.select(F.col("vertex").alias("cls"), F.col("component").alias("family")), "families")
-        sizes = family.groupBy("family").agg(F.count("*").alias("size"), F.count("*").alias("w"))
-        kin = join_unique(family, materialize(sizes, "family-sizes"), "family", "w").join(known.select("cls", "component"), "cls")
-        found = materialize(_resolved(kin.join(_tokens(docs, classes, forest, k), "cls"), t), "more-links")
+        family = materialize(family.select(F.col("vertex").alias("cls"), F.col("component").alias("family")).join(known.select("cls", "component", "n"), "cls"), "families")
+        sizes = family.groupBy("family").agg(F.count("*").alias("w"), F.sum("n").alias("all"))
+        sizes = materialize(sizes.select("family", _parts(F.col("w"), F.col("all") * 8, FAMILY_BLOCK).alias("parts"), "w"), "family-sizes")
+        tokens = _tokens(docs, classes, forest, k)
+        found = materialize(_resolved(join_unique(family, sizes, "family", "w").join(tokens, "cls"), t), "more-links")
+        drop_scratch(family, sizes, tokens)
         if found.head(1):
-            labels = materialize(_labels(links.unionByName(found), classes), "all-labels")
+            old, labels = labels, materialize(_labels(links.unionByName(found), classes), "all-labels")
+            drop_scratch(old)
+        drop_scratch(found)
+    drop_scratch(forest, known, links)
 
     final = classes.join(labels, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component_id"), "weight")
-    out = join_unique(sets.select("doc_id", "n", "cls"), materialize(final, "classes-labelled"), "cls", "weight")
+    final = materialize(final, "classes-labelled")
+    drop_scratch(classes, labels)
+    out = join_unique(sets.select("doc_id", "n", "cls"), final, "cls", "weight")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
+def _cells(members: DataFrame, t: int) -> DataFrame:
+    """cell, high, cls, component, n: each member (sig, cls, component, n) in the two cells of its signature for its size.
+
+    Sizes are banded so finely that linked sets are in one band or in two next to each other.  A cell holds a
+    signature's members of a band and, marked high, those of the next, so that sets of unlike size never meet.  Cells
+    are named by a hash: where two names fall together, more is compared and nothing is lost.
+    """
+    width = max(1.001 * math.log(100 / t), 1e-9)
+    band = F.floor(F.log("n") / width)
+    at = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("high")), F.struct((band - 1).alias("band"), F.lit(True).alias("high")))).alias("at")
+    return members.select("sig", "cls", "component", "n", at).select(F.xxhash64("sig", "at.band").alias("cell"), "at.high", "cls", "component", "n")
+
+
 def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
     """cls, component (a doc_id) of the classes that have links."""
     rep = classes.select("cls", "rep")
