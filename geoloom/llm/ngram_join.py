@@ -458,7 +458,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, frequent: int = SM
     known = materialize(known.select("cls", F.coalesce("component", "rep").alias("component"), "n", "bits", "w"), "known")
     marked = materialize(_cells(join_unique(members, known.select("cls", "component", "n", "w"), "cls", "w"), t), "marked")
     drop_scratch(groups)
-    open_ = marked.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w"), F.sum("n").alias("all")).where("lo < hi")
+    open_ = marked.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w"), F.sum("n").alias("all"), F.min("high").alias("high")).where("lo < hi and not high")  # of a cell all high nothing is compared
     open_ = materialize(open_.select("cell", _parts(F.col("w"), F.col("all") / 2, BLOCK).alias("parts"), "w"), "open")
     left = materialize(join_unique(marked.select("cell", "high", "cls"), open_, "cell", "w").where("parts is not null"), "left")
     forest = materialize(_apart(join_salted(left, known.drop("w"), "cls", "cell"), t).distinct(), "forest")
