@@ -1,46 +1,69 @@
 """A Spark data source for map files (.osm.pbf): spark.read.format("osmpbf").option("entity", "node").load(path).
 
-Options: entity (node, way, relation, blob, header); tags=false leaves out tags; mode=PERMISSIVE drops blobs that
-can't be read; index names a Parquet sidecar written by write_index(), whose id ranges prune blocks for pushed
-id filters; partitionBytes is the stored bytes of a partition.  Only headers are read on the driver.
+path is a file or a folder of files that end in .pbf.  Options: entity (node, way, relation, blob, header);
+tags=false leaves out tags; mode=PERMISSIVE drops blobs that can't be read; index names a Parquet sidecar written
+by write_index(), whose id ranges prune blocks for pushed id filters; partitionBytes is the stored bytes of a
+partition; fromOffset and toOffset bound the places of the blobs read.  Only headers are read on the driver, and
+not even those of blobs that the index has.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from geoloom.sources.wire import blocks
+from geoloom.scratch import arrow_folder, qualified
+from geoloom.sources.wire import blocks, writer
 from geoloom.sources.wire.blocks import Blob, Block, PbfParseError
 
+#: Blobs that one job of write_index() reads; an interrupted index goes on after the last whole job.
+INDEX_BLOBS = 65_536
 _TAGS = "tags array<struct<key:string,value:string>>"
 BLOB_FIELDS = ("pbf_ofs", "blob_len", "zlib_ofs", "zlib_len", "raw_size", "scanned", "node_count", "min_node_id", "max_node_id", "way_count", "min_way_id", "max_way_id", "relation_count", "min_relation_id", "max_relation_id")
 SCHEMAS = {
     "node": f"id long, lat_code int, lon_code int, {_TAGS}",
     "way": f"id long, {_TAGS}, node_ids array<long>",
     "relation": f"id long, {_TAGS}, members array<struct<id:long,type:tinyint,role:string>>",
-    "blob": ", ".join(f"{c} {'boolean' if c == 'scanned' else 'long'}" for c in BLOB_FIELDS),
+    "blob": ", ".join(f"{c} {'boolean' if c == 'scanned' else 'long'}" for c in BLOB_FIELDS) + ", file string",
     "header": "left long, right long, top long, bottom long, required_features array<string>, optional_features array<string>, writingprogram string, source string, replication_timestamp long, replication_seq long, replication_url string",
 }
-_BLOB_SCHEMA = pa.schema([(c, pa.bool_() if c == "scanned" else pa.int64()) for c in BLOB_FIELDS])
+_BLOB_SCHEMA = pa.schema([(c, pa.bool_() if c == "scanned" else pa.int64()) for c in BLOB_FIELDS] + [("file", pa.string())])
+
+
+def _located(path: str):
+    """Arrow's file system and path of a local path or a URI."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 def opened(path: str):
     """A seekable stream of a local path or a URI that Arrow's file systems read."""
-    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    files, inner = _located(path)
     return files.open_input_file(inner)
 
 
+def files_of(path: str) -> list[str]:
+    """path itself, or the files of the folder path that end in .pbf, in the order of their names."""
+    files, inner = _located(path)
+    if files.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    names = (os.path.basename(x.path) for x in files.get_file_info(fs.FileSelector(inner)) if x.is_file)
+    return [f"{path.rstrip('/')}/{name}" for name in sorted(names) if name.endswith(".pbf")]
+
+
 @dataclass
 class Blobs(InputPartition):
-    blobs: tuple[Blob, ...]
+    blobs: tuple[tuple[str, Blob], ...]
 
 
 class PbfReader(DataSourceReader):
@@ -48,6 +71,7 @@ class PbfReader(DataSourceReader):
         self.path, self.entity = options["path"], options.get("entity", "node")
         self.tags, self.permissive = options.get("tags", "true") != "false", options.get("mode", "").upper() == "PERMISSIVE"
         self.index, self.bytes = options.get("index"), int(options.get("partitionbytes", options.get("partitionBytes", 32 << 20)))
+        self.first, self.last = (int(options[k]) if k in options else None for k in ("fromoffset", "tooffset"))
         self.low, self.high, self.ids = None, None, None
 
     def pushFilters(self, filters: list[Filter]):
@@ -62,23 +86,37 @@ class PbfReader(DataSourceReader):
                     self.high = f.value if self.high is None else min(self.high, f.value)
             yield f  # Spark filters rows again: blocks are pruned here, rows aren't
 
-    def _wanted(self, row: dict) -> bool:
+    def _wanted(self, row: dict, ids: list[int] | None) -> bool:
         low, high = row[f"min_{self.entity}_id"], row[f"max_{self.entity}_id"]
         if not row[f"{self.entity}_count"]:
             return False
         if (self.low is not None and high < self.low) or (self.high is not None and low > self.high):
             return False
-        return self.ids is None or any(low <= i <= high for i in self.ids)
+        return ids is None or ((at := bisect_left(ids, low)) < len(ids) and ids[at] <= high)
 
-    def partitions(self):
-        with opened(self.path) as f:
-            found = [b for b in blocks.walk(f) if (b.kind == "OSMHeader") == (self.entity == "header")]
+    def _found(self, file: str) -> Iterator[Blob]:
+        """The blobs of a file that may hold what is asked for; those that the index has aren't looked up in the file."""
+        after = self.first or 0
         if self.index and self.entity in ("node", "way", "relation"):
-            rows = {r["pbf_ofs"]: r for r in read_index(self.path, self.index) or []}
-            found = [b for b in found if b.pbf_ofs not in rows or self._wanted(rows[b.pbf_ofs])]
+            ids = None if self.ids is None else sorted(self.ids)
+            for row in read_index(file, self.index, self.entity) or []:
+                after = max(after, row["pbf_ofs"] + row["blob_len"])
+                if self._wanted(row, ids):
+                    yield Blob(row["pbf_ofs"], row["blob_len"], "OSMData", None)
+        with opened(file) as f:
+            for b in blocks.walk(f, after):
+                if self.last is not None and b.pbf_ofs > self.last:
+                    return
+                if (b.kind == "OSMHeader") == (self.entity == "header"):
+                    yield b
+                elif self.entity == "header":
+                    return  # headers come first
+
+    def partitions(self):
+        found = [(file, b) for file in files_of(self.path) for b in self._found(file)]
         parts, held, size = [], [], 0
-        for b in found:
-            held.append(b)
+        for file, b in found:
+            held.append((file, b))
             size += b.blob_len
             if size >= self.bytes:
                 parts.append(Blobs(tuple(held)))
@@ -86,21 +124,31 @@ class PbfReader(DataSourceReader):
         return parts + [Blobs(tuple(held))] if held or not parts else parts
 
     def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
-        with opened(self.path) as f:
-            for b in partition.blobs:
+        held, name = None, None
+        try:
+            for file, b in partition.blobs:
+                if file != name:
+                    if held is not None:
+                        held.close()
+                    held, name = opened(file), file
                 try:
-                    f.seek(b.pbf_ofs + b.data_ofs)
-                    body = f.read(b.blob_len - b.data_ofs)
+                    if b.data_ofs is None:
+                        b = blocks.blob_at(held, b.pbf_ofs)
+                    held.seek(b.pbf_ofs + b.data_ofs)
+                    body = held.read(b.blob_len - b.data_ofs)
                     if len(body) < b.blob_len - b.data_ofs:
                         raise PbfParseError("the file ends within a blob", b.pbf_ofs)
-                    batches = list(self._decode(b, body))
+                    batches = list(self._decode(b, body, file))
                 except (ValueError, IndexError, KeyError) as e:
                     if self.permissive:
                         continue
                     raise e if isinstance(e, PbfParseError) and e.offset is not None else PbfParseError(f"{type(e).__name__}: {e}", b.pbf_ofs) from e
                 yield from batches
+        finally:
+            if held is not None:
+                held.close()
 
-    def _decode(self, b: Blob, body: bytes) -> Iterator[pa.RecordBatch]:
+    def _decode(self, b: Blob, body: bytes, file: str) -> Iterator[pa.RecordBatch]:
         data = blocks.inflate(body, b.pbf_ofs)
         if self.entity == "header":
             row = blocks.header(data)
@@ -109,7 +157,7 @@ class PbfReader(DataSourceReader):
         elif self.entity == "blob":
             packed = next(((n, v) for n, v in blocks.fields(body) if n in (1, 3)), (1, b""))[1]
             at = body.find(bytes(packed)) if len(packed) else 0
-            row = {"pbf_ofs": b.pbf_ofs, "blob_len": b.blob_len, "zlib_ofs": b.data_ofs + at, "zlib_len": len(packed), "raw_size": len(data), "scanned": True}
+            row = {"pbf_ofs": b.pbf_ofs, "blob_len": b.blob_len, "zlib_ofs": b.data_ofs + at, "zlib_len": len(packed), "raw_size": len(data), "scanned": True, "file": file}
             for kind, (n, low, high) in blocks.statistics(data).items():
                 row |= {f"{kind}_count": n, f"min_{kind}_id": low, f"max_{kind}_id": high}
             yield pa.RecordBatch.from_pylist([row], schema=_BLOB_SCHEMA)
@@ -140,28 +188,96 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, entity: str = "node", **options) -> DataFrame:
     register(spark)
-    return spark.read.format("osmpbf").option("entity", entity).options(**options).load(path)
+    options |= {k: qualified(spark, options[k]) for k in ("index",) if options.get(k)}
+    return spark.read.format("osmpbf").option("entity", entity).options(**options).load(qualified(spark, path))
 
 
 def stamp(path: str) -> str:
     """Size and change time of a file: an index with another stamp is stale."""
-    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    files, inner = _located(path)
     info = files.get_file_info(inner)
     return f"{info.size}:{info.mtime_ns}"
 
 
-def write_index(spark: SparkSession, path: str, index: str) -> None:
-    """Write the block statistics of a file as one Parquet file with the file's stamp.  A row is a block of
-    thousands of entities, so the table is small beside the file."""
-    table = read(spark, path, "blob").orderBy("pbf_ofs").toArrow().cast(_BLOB_SCHEMA)
-    pq.write_table(table.replace_schema_metadata({"stamp": stamp(path)}), index)
+def write_index(spark: SparkSession, path: str, index: str, blobs: int = INDEX_BLOBS) -> None:
+    """Append the block statistics of the files of path, with their stamps, to the Parquet table index.
 
+    What an index of the same stamp has already is not read again, so that a call that was interrupted goes on
+    after the last of its jobs, each of which reads so many blobs.  Nothing but blob places comes to the driver.
+    """
+    index = qualified(spark, index)
+    for file in files_of(qualified(spark, path)):
+        rows = read_index(file, index) or []
+        with opened(file) as f:
+            places = [b.pbf_ofs for b in blocks.walk(f, max((r["pbf_ofs"] + r["blob_len"] for r in rows), default=0)) if b.kind == "OSMData"]
+        for at in range(0, len(places), blobs):
+            part = places[at : at + blobs]
+            own = read(spark, file, "blob", fromOffset=part[0], toOffset=part[-1])
+            own.withColumn("stamp", F.lit(stamp(file))).write.mode("append").parquet(index)
 
-def read_index(path: str, index: str) -> list[dict] | None:
-    """Rows of an index; None if it is missing or stale."""
-    if not os.path.exists(index):
-        return None
-    table = pq.read_table(index)
-    if (table.schema.metadata or {}).get(b"stamp", b"").decode() != stamp(path):
+
+def read_index(path: str, index: str, entity: str | None = None) -> list[dict] | None:
+    """Rows of an index on a file in the order of their places, those of an entity only its range; None if they are missing or stale."""
+    files, inner = _located(index)
+    if files.get_file_info(inner).type == fs.FileType.NotFound:
         return None
-    return table.to_pylist()
+    columns = list(BLOB_FIELDS) if entity is None else ["pbf_ofs", "blob_len", f"{entity}_count", f"min_{entity}_id", f"max_{entity}_id"]
+    name = path if "://" in path else f"file://{os.path.abspath(path)}"
+    table = ds.dataset(inner, filesystem=files, format="parquet", exclude_invalid_files=False)
+    rows = table.to_table(columns=columns, filter=(ds.field("file") == name) & (ds.field("stamp") == stamp(path)))
+    return rows.sort_by("pbf_ofs").to_pylist() or None
+
+
+_ENCODED = "kind int, block long, data binary"
+
+
+def _encoded(rows: DataFrame, kind: int, block: int) -> DataFrame:
+    """kind, block, data: a blob of each block of so many ids."""
+
+    def encode(table: pa.Table) -> pa.Table:
+        rows, strings = table.sort_by("id").to_pylist(), writer.Strings()
+        tags = [[(t["key"], t["value"]) for t in r["tags"]] for r in rows]
+        if kind == 0:
+            group = writer.dense(strings, [(r["id"], r["lat_code"], r["lon_code"], t) for r, t in zip(rows, tags, strict=True)])
+        elif kind == 1:
+            group = writer.ways(strings, [(r["id"], t, r["node_ids"]) for r, t in zip(rows, tags, strict=True)])
+        else:
+            group = writer.relations(strings, [(r["id"], t, [(m["id"], m["type"], m["role"]) for m in r["members"]]) for r, t in zip(rows, tags, strict=True)])
+        data = writer.blob("OSMData", writer.block(strings, [group]))
+        return pa.table({"kind": pa.array([kind], pa.int32()), "block": table["block"].slice(0, 1), "data": pa.array([data], pa.binary())})
+
+    return rows.withColumn("block", F.floor((F.col("id") - 1) / block)).groupBy("block").applyInArrow(encode, _ENCODED)
+
+
+def write(spark: SparkSession, path: str, nodes: DataFrame | None = None, ways: DataFrame | None = None, relations: DataFrame | None = None, block: int = 8000) -> str:
+    """Write entities (with the columns that read() gives them) into a folder of map files, nodes before ways before relations.
+
+    Blocks hold up to `block` ids; a task writes one file under a name that no other attempt has, and files of
+    attempts that failed are deleted in the end.  Returns the folder's URI.
+    """
+    blobs = None
+    for kind, rows in enumerate((nodes, ways, relations)):
+        if rows is not None:
+            own = _encoded(rows, kind, block)
+            blobs = own if blobs is None else blobs.unionByName(own)
+    folder = arrow_folder(spark, path)
+
+    def put(batches):
+        files, inner = fs.FileSystem.from_uri(folder)
+        out, name = None, f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pbf"
+        for batch in batches:
+            if out is None and len(batch):
+                out = files.open_output_stream(f"{inner}/{name}")
+                out.write(writer.header())
+            for data in batch.column(0):
+                out.write(data.as_buffer())
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    done = {r.name for r in blobs.repartitionByRange("kind", "block").sortWithinPartitions("kind", "block").select("data").mapInArrow(put, "name string").collect()}
+    files, inner = fs.FileSystem.from_uri(folder)
+    for x in files.get_file_info(fs.FileSelector(inner)):
+        if x.is_file and os.path.basename(x.path) not in done and os.path.basename(x.path).startswith("part-"):
+            files.delete_file(x.path)
+    return folder

@@ -27,34 +27,42 @@ class PbfParseError(ValueError):
 
 @dataclass(frozen=True)
 class Blob:
-    """Where a blob is: its header at pbf_ofs, blob_len bytes in all; data_ofs is the Blob message's place in it."""
+    """Where a blob is: its header at pbf_ofs, blob_len bytes in all; data_ofs is the Blob message's place in it, None
+    where only the header knows it."""
 
     pbf_ofs: int
     blob_len: int
     kind: str
-    data_ofs: int
-
-
-def walk(stream) -> Iterator[Blob]:
-    """The blobs of a seekable stream, by their headers alone."""
-    at = 0
-    while head := stream.read(4):
-        if len(head) < 4:
-            raise PbfParseError("the file ends within a length", at)
-        n = struct.unpack(">I", head)[0]
-        if n > 64 << 10:
-            raise PbfParseError(f"a blob header of {n} bytes", at)
-        kind, size = "", 0
-        for number, value in fields(stream.read(n)):
-            if number == 1:
-                kind = bytes(value).decode()
-            elif number == 3:
-                size = value
-        if kind not in ("OSMHeader", "OSMData"):
-            raise PbfParseError(f"a blob of type {kind!r}", at)
-        yield Blob(at, 4 + n + size, kind, 4 + n)
-        at += 4 + n + size
-        stream.seek(at)
+    data_ofs: int | None
+
+
+def blob_at(stream, at: int) -> Blob | None:
+    """The blob whose header is at a place of a seekable stream; None at the end."""
+    stream.seek(at)
+    head = stream.read(4)
+    if not head:
+        return None
+    if len(head) < 4:
+        raise PbfParseError("the file ends within a length", at)
+    n = struct.unpack(">I", head)[0]
+    if n > 64 << 10:
+        raise PbfParseError(f"a blob header of {n} bytes", at)
+    kind, size = "", 0
+    for number, value in fields(stream.read(n)):
+        if number == 1:
+            kind = bytes(value).decode()
+        elif number == 3:
+            size = value
+    if kind not in ("OSMHeader", "OSMData"):
+        raise PbfParseError(f"a blob of type {kind!r}", at)
+    return Blob(at, 4 + n + size, kind, 4 + n)
+
+
+def walk(stream, at: int = 0) -> Iterator[Blob]:
+    """The blobs of a seekable stream from a place on, by their headers alone."""
+    while blob := blob_at(stream, at):
+        yield blob
+        at += blob.blob_len
 
 
 def inflate(blob: bytes, offset: int | None = None) -> bytes:
@@ -115,37 +123,58 @@ def _packed(value) -> np.ndarray:
     return np.frombuffer(value, np.uint8)
 
 
-def _lists(rows: list[list[tuple[str, str]]]) -> pa.Array:
-    return pa.array([[{"key": k, "value": v} for k, v in r] for r in rows], TAGS)
-
-
 TAGS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 NODES = pa.schema([("id", pa.int64()), ("lat_code", pa.int32()), ("lon_code", pa.int32()), ("tags", TAGS)])
 WAYS = pa.schema([("id", pa.int64()), ("tags", TAGS), ("node_ids", pa.list_(pa.int64()))])
 RELATIONS = pa.schema([("id", pa.int64()), ("tags", TAGS), ("members", pa.list_(pa.struct([("id", pa.int64()), ("type", pa.int8()), ("role", pa.string())])))])
 
 
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]).astype(np.int32))
+
+
+def _joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+
+
+def _taken(strings: pa.Array, at: np.ndarray) -> pa.Array:
+    """The strings with those numbers."""
+    if len(at) and (at.min() < 0 or at.max() >= len(strings)):
+        raise IndexError("a string that the block doesn't have")
+    return strings.take(pa.array(at))
+
+
+def _tag_lists(b: Block, keys: np.ndarray, values: np.ndarray, sizes) -> pa.Array:
+    """A list of tags for each size, from the numbers of their keys and values one after another."""
+    strings = pa.array(b.strings, pa.string())
+    tags = pa.StructArray.from_arrays([_taken(strings, keys), _taken(strings, values)], fields=list(TAGS.value_type))
+    return pa.ListArray.from_arrays(_offsets(sizes), tags, type=TAGS)
+
+
 def _dense_tags(b: Block, n: int, flat: np.ndarray | None) -> pa.Array:
     """Keys and values in turn, each node's ended by a 0."""
     if flat is None or not len(flat):
-        return pa.array([[]] * n, TAGS)
-    rows, at = [], 0
-    flat = flat.tolist()
-    while at < len(flat):
-        row = []
-        while flat[at]:
-            row.append((b.strings[flat[at]], b.strings[flat[at + 1]]))
-            at += 2
-        rows.append(row)
-        at += 1
-    if len(rows) != n:
-        raise PbfParseError(f"tags of {len(rows)} nodes for {n}")
-    return _lists(rows)
+        return _tag_lists(b, np.zeros(0, np.int64), np.zeros(0, np.int64), [0] * n)
+    ends = np.flatnonzero(flat == 0)
+    sizes = np.diff(ends, prepend=-1) - 1
+    if not len(ends) or ends[-1] != len(flat) - 1 or (sizes % 2).any():  # a value may be string 0, which ends nothing
+        ends, at = [], 0
+        while at < len(flat):
+            while flat[at]:
+                at += 2
+            ends.append(at)
+            at += 1
+        ends = np.array(ends)
+        sizes = np.diff(ends, prepend=-1) - 1
+    if len(sizes) != n:
+        raise PbfParseError(f"tags of {len(sizes)} nodes for {n}")
+    rest = np.delete(flat, ends)
+    return _tag_lists(b, rest[0::2], rest[1::2], sizes // 2)
 
 
 def nodes(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
     for group in b.groups:
-        single = ([], [], [], [])
+        single, pairs = ([], [], []), _Pairs(b, tags)
         for number, value in fields(group):
             if number == 2:
                 part = {n: v for n, v in fields(value)}
@@ -157,50 +186,66 @@ def nodes(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(b.codes(lat, b.lat_offset)), pa.array(b.codes(lon, b.lon_offset)), _dense_tags(b, len(ids), flat)], schema=NODES)
             elif number == 1:
                 part = {n: v for n, v in fields(value)}
-                single[0].append(unzigzag_one(part[1]))
-                single[1].append(unzigzag_one(part[8]))
-                single[2].append(unzigzag_one(part[9]))
-                single[3].append(_pairs(b, part) if tags else [])
+                for column, k in zip(single, (1, 8, 9), strict=True):
+                    column.append(unzigzag_one(part[k]))
+                pairs.add(part)
         if single[0]:
             lat, lon = (b.codes(np.array(x, np.int64), o) for x, o in ((single[1], b.lat_offset), (single[2], b.lon_offset)))
-            yield pa.RecordBatch.from_arrays([pa.array(single[0], pa.int64()), pa.array(lat), pa.array(lon), _lists(single[3])], schema=NODES)
+            yield pa.RecordBatch.from_arrays([pa.array(single[0], pa.int64()), pa.array(lat), pa.array(lon), pairs.lists()], schema=NODES)
+
+
+class _Pairs:
+    """Collects the numbers of the keys and values of entities."""
+
+    def __init__(self, b: Block, wanted: bool):
+        self.b, self.wanted, self.keys, self.values, self.sizes = b, wanted, [], [], []
 
+    def add(self, part: dict) -> None:
+        keys, values = (varints.decode(_packed(part.get(k, b""))) for k in (2, 3))
+        if len(keys) != len(values):
+            raise PbfParseError("keys and values of unlike length")
+        if self.wanted:
+            self.keys.append(keys)
+            self.values.append(values)
+        self.sizes.append(len(keys) if self.wanted else 0)
 
-def _pairs(b: Block, part: dict) -> list[tuple[str, str]]:
-    keys, values = (varints.decode(_packed(part.get(k, b""))).tolist() for k in (2, 3))
-    if len(keys) != len(values):
-        raise PbfParseError("keys and values of unlike length")
-    return [(b.strings[k], b.strings[v]) for k, v in zip(keys, values, strict=True)]
+    def lists(self) -> pa.Array:
+        return _tag_lists(self.b, _joined(self.keys), _joined(self.values), self.sizes)
 
 
 def ways(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
     for group in b.groups:
-        rows = ([], [], [])
+        ids, refs, pairs = [], [], _Pairs(b, tags)
         for number, value in fields(group):
             if number == 3:
                 part = {n: v for n, v in fields(value)}
-                rows[0].append(signed(part[1]))
-                rows[1].append(_pairs(b, part) if tags else [])
-                rows[2].append(varints.delta_decode(_packed(part.get(8, b""))))
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), _lists(rows[1]), pa.array(rows[2], pa.list_(pa.int64()))], schema=WAYS)
+                ids.append(signed(part[1]))
+                pairs.add(part)
+                refs.append(varints.delta_decode(_packed(part.get(8, b""))))
+        if ids:
+            lists = pa.ListArray.from_arrays(_offsets([len(r) for r in refs]), pa.array(_joined(refs)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pairs.lists(), lists], schema=WAYS)
 
 
 def relations(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
+    strings = None
     for group in b.groups:
-        rows = ([], [], [])
+        own, ids, kinds, roles, pairs = [], [], [], [], _Pairs(b, tags)
         for number, value in fields(group):
             if number == 4:
                 part = {n: v for n, v in fields(value)}
-                roles, kinds = (varints.decode(_packed(part.get(k, b""))).tolist() for k in (8, 10))
-                ids = varints.delta_decode(_packed(part.get(9, b""))).tolist()
-                if not len(roles) == len(kinds) == len(ids):
+                columns = [varints.decode(_packed(part.get(k, b""))) for k in (8, 10)] + [varints.delta_decode(_packed(part.get(9, b"")))]
+                if len({len(c) for c in columns}) > 1:
                     raise PbfParseError("member columns of unlike length")
-                rows[0].append(signed(part[1]))
-                rows[1].append(_pairs(b, part) if tags else [])
-                rows[2].append([{"id": i, "type": k, "role": b.strings[r]} for i, k, r in zip(ids, kinds, roles, strict=True)])
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), _lists(rows[1]), pa.array(rows[2], RELATIONS.field("members").type)], schema=RELATIONS)
+                own.append(signed(part[1]))
+                pairs.add(part)
+                for held, c in zip((roles, kinds, ids), columns, strict=True):
+                    held.append(c)
+        if own:
+            strings = pa.array(b.strings, pa.string()) if strings is None else strings
+            kind = RELATIONS.field("members").type
+            members = pa.StructArray.from_arrays([pa.array(_joined(ids)), pa.array(_joined(kinds, np.int8)), _taken(strings, _joined(roles))], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pairs.lists(), pa.ListArray.from_arrays(_offsets([len(r) for r in ids]), members, type=kind)], schema=RELATIONS)
 
 
 def statistics(data: bytes) -> dict[str, tuple[int, int | None, int | None]]:

@@ -64,11 +64,55 @@ def test_index_prunes_and_goes_stale(spark, tmp_path):
     for condition, parts, n in (("id = 33", 1, 1), ("id in (3, 77, 500)", 2, 2), ("id >= 70", 1, 10), ("id > 500", 1, 0), ("id between 15 and 24", 2, 10)):
         some = df.where(condition)
         assert some.count() == n and some.rdd.getNumPartitions() <= parts
-    assert osmpbf.read_index(path, index) is not None
+    assert len(osmpbf.read_index(path, index)) == 8
+    assert osmpbf.read(spark, f"file://{path}", index=f"file://{index}", partitionBytes=1).where("id = 33").rdd.getNumPartitions() == 1
     write(tmp_path / "c.pbf", *blobs, blobs[0])
     assert osmpbf.read_index(path, index) is None and osmpbf.read(spark, path, index=index).count() == 90
 
 
+def test_index_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    blobs = [data(block([writer.dense], [(i * 10 + j, i, j, []) for j in range(10)])) for i in range(9)]
+    path, index = write(tmp_path / "c.pbf", *blobs), str(tmp_path / "c.index")
+    jobs, read = [], osmpbf.read
+
+    def failing(spark, path, entity, **options):
+        jobs.append(options)
+        if len(jobs) == 3:
+            raise RuntimeError("lost")
+        return read(spark, path, entity, **options)
+
+    monkeypatch.setattr(osmpbf, "read", failing)
+    with pytest.raises(RuntimeError):
+        osmpbf.write_index(spark, path, index, blobs=2)
+    assert len(osmpbf.read_index(path, index)) == 4
+    assert read(spark, path, index=index).where("id >= 15").count() == 75  # what the index lacks is read whole
+    osmpbf.write_index(spark, path, index, blobs=2)
+    assert [r["min_node_id"] for r in osmpbf.read_index(path, index)] == [i * 10 for i in range(9)] and len(jobs) == 6
+    assert read(spark, path, index=index, partitionBytes=1).where("id = 88").rdd.getNumPartitions() == 1
+
+
+def test_a_value_that_is_string_zero(spark, tmp_path):
+    s = writer.Strings()
+    k = s("k")
+    body = b"".join(field(n, varints.delta_encode(v)) for n, v in ((1, [1, 2]), (8, [0, 0]), (9, [0, 0])))
+    path = write(tmp_path / "z.pbf", data(writer.block(s, [field(2, body + field(10, varints.encode([k, 0, 0, 0])))])))
+    assert [(r.id, tagged(r.tags)) for r in osmpbf.read(spark, path).collect()] == [(1, [("k", "")]), (2, [])]
+
+
+def test_written_folder(spark, tmp_path):
+    tags = "array<struct<key:string,value:string>>"
+    nodes = spark.createDataFrame([(i, i * 3, -i, [("n", str(i))] if i % 2 else []) for i in range(1, 60)], f"id long, lat_code int, lon_code int, tags {tags}").repartition(4)
+    ways = spark.createDataFrame([(i, [("k", "v")], list(range(i % 5))) for i in range(1, 30)], f"id long, tags {tags}, node_ids array<long>")
+    relations = spark.createDataFrame([(i, [], [(i, 1, "outer")] * (i % 3)) for i in range(1, 20)], f"id long, tags {tags}, members array<struct<id:long,type:tinyint,role:string>>")
+    path = osmpbf.write(spark, str(tmp_path / "map"), nodes, ways, relations, block=10)
+    for entity, rows in (("node", nodes), ("way", ways), ("relation", relations)):
+        assert sorted(osmpbf.read(spark, path, entity).collect()) == sorted(rows.collect())
+    osmpbf.write_index(spark, path, str(tmp_path / "index"))
+    some = osmpbf.read(spark, path, "way", index=str(tmp_path / "index"), partitionBytes=1).where("id = 25")
+    assert some.count() == 1 and some.rdd.getNumPartitions() == 1
+    assert osmpbf.read(spark, path, "blob").agg({"node_count": "sum"}).first()[0] == 59
+
+
 def test_damage(spark, tmp_path):
     good = data(block([writer.dense], NODES))
     lzma = writer.blob("OSMData", b"", body=field(2, 10) + field(4, b"zz"))
