@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.sources.wire import varints
+
 
 def zigzag(v: Column) -> Column:
     """0, -1, 1, -2 ... become 0, 1, 2, 3 ..."""
@@ -33,6 +39,21 @@ def undelta(df: DataFrame, group: list[str], order: list[str], value: str, out:
     return df.withColumn(out, F.sum(value).over(w))
 
 
+def packed_sizes(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """group, raw, gzip, delta_gzip, proto_gzip: bytes of each group's values as 16-bit numbers in order, plain and
+    compressed at level 9; their steps as 16-bit numbers, and as zigzag varints, compressed.  A group is one grid."""
+
+    def sizes(table: pa.Table) -> pa.Table:
+        v = table.sort_by(order)[value].to_numpy().astype("<i2")
+        step = np.diff(v, prepend=v.dtype.type(0))
+        forms = (v.tobytes(), step.tobytes(), varints.zigzag_encode(step))
+        row = [len(v) * 2, *(len(gzip.compress(x, 9)) for x in forms)]
+        return pa.table({group: table[group].slice(0, 1), **{c: pa.array([n], pa.int64()) for c, n in zip(("raw", "gzip", "delta_gzip", "proto_gzip"), row, strict=True)}})
+
+    rows = df.select(F.col(group).cast("long").alias(group), order, value)
+    return rows.groupBy(group).applyInArrow(sizes, f"{group} long, raw long, gzip long, delta_gzip long, proto_gzip long")
+
+
 def histogram(df: DataFrame, value: str) -> DataFrame:
     """value, n; sort it by n descending, then value, to read it."""
     return df.groupBy(value).agg(F.count("*").alias("n"))

@@ -28,5 +28,11 @@ def as_map(tags: Column) -> Column:
     return F.map_from_entries(own)
 
 
+def rendered(**columns: Column) -> Column:
+    """{ name = value, ... }; null as an empty text."""
+    parts = [F.concat(F.lit(f"{k} = "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in columns.items()]
+    return F.concat(F.lit("{ "), F.concat_ws(", ", *parts), F.lit(" }"))
+
+
 def members_of(members: Column, kind: int) -> Column:
     return F.filter(members, lambda m: m["type"] == kind)

@@ -148,15 +148,35 @@ def raster(spark: SparkSession, box: DataFrame, width: int, height: int) -> Data
     return grid.select("pixel", x.alias("pos_x"), y.alias("pos_y"))
 
 
+def image_width(box: str, height: int, padding: int) -> Column:
+    """Width of an image of that height in which a metre is as long across as upright, along the middle of the box.
+
+    box: a struct of min_x, max_x, min_y, max_y in units of 1e-7 degrees, x east and y north.
+    """
+    x0, x9, y0, y9 = (F.col(f"{box}.{c}") for c in ("min_x", "max_x", "min_y", "max_y"))
+    degrees = lambda c: c / F.lit(geo.UNITS)
+    middle = degrees(y0 + F.call_function("div", y9 - y0, F.lit(2).cast("long")))
+    across = geo.distance(middle, degrees(x0), middle, degrees(x9))
+    upright = geo.distance(degrees(y0), F.lit(0.0), degrees(y9), F.lit(0.0))
+    return (F.lit(float(height - 2 * padding)) / upright * across).cast("long") + 2 * padding
+
+
+def _scales(box: str, height: int, padding: int) -> tuple[Column, Column]:
+    """Pixels a unit, across and upright."""
+    across = (image_width(box, height, padding) - 2 * padding) / (F.col(f"{box}.max_x") - F.col(f"{box}.min_x")).cast("double")
+    return across, F.lit(float(height - 2 * padding)) / (F.col(f"{box}.max_y") - F.col(f"{box}.min_y")).cast("double")
+
+
 def to_pixel(x: Column, y: Column, box: str, height: int, padding: int) -> tuple[Column, Column]:
-    """Pixel (column, row) of a position in an image of that height, the box inside a padding; one scale for both axes."""
-    scale = F.lit(height - 2 * padding) / (F.col(f"{box}.max_y") - F.col(f"{box}.min_y"))
-    return F.floor((x - F.col(f"{box}.min_x")) * scale) + padding, F.floor((y - F.col(f"{box}.min_y")) * scale) + padding
+    """Pixel (column, row from the top) of a position in an image of that height, the box inside a padding."""
+    across, upright = _scales(box, height, padding)
+    return ((x - F.col(f"{box}.min_x")) * across).cast("long") + padding, F.lit(height) - ((y - F.col(f"{box}.min_y")) * upright).cast("long") - padding
 
 
 def from_pixel(column: Column, row: Column, box: str, height: int, padding: int) -> tuple[Column, Column]:
-    scale = (F.col(f"{box}.max_y") - F.col(f"{box}.min_y")) / F.lit(height - 2 * padding)
-    return F.floor((column - padding) * scale) + F.col(f"{box}.min_x"), F.floor((row - padding) * scale) + F.col(f"{box}.min_y")
+    """The position (x, y) of a pixel."""
+    across, upright = _scales(box, height, padding)
+    return ((column - padding) / across).cast("long") + F.col(f"{box}.min_x"), ((F.lit(height) - row - padding) / upright).cast("long") + F.col(f"{box}.min_y")
 
 
 def zigzag_grid(spark: SparkSession, n: int) -> DataFrame:

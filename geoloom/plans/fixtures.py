@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, tags
+from geoloom.scratch import scratch_path
+from geoloom.sources import osmpbf
 
 NATION, REGION = 1_000_000_000, 2_000_000_000
 #: Entities of a block.
@@ -63,6 +65,18 @@ class MapData:
         nations = self.table("nation").select(*named(F.col("n_regionkey") + F.lit(REGION).cast("long"), rank("n_regionkey", "n_nationkey"), 2, F.col("n_nationkey") + F.lit(NATION).cast("long"), F.lit("subarea")))
         return ways.unionByName(centres).unionByName(customers).unionByName(nations)
 
+    def relation_members(self) -> DataFrame:
+        """id, tags, members in order."""
+        m = F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "ref", "role"))), lambda x: F.struct(x["ref"].alias("id"), x["type"].alias("type"), x["role"].alias("role")))
+        rows = self.members().groupBy("rel_id").agg(m.alias("members"))
+        out = self.relations().join(rows, F.col("id") == F.col("rel_id"), "left")
+        return out.select("id", "tags", F.coalesce("members", F.array().cast("array<struct<id:bigint,type:tinyint,role:string>>")).alias("members"))
+
+    def file(self, *kinds: str) -> str:
+        """A folder of map files with all nodes, ways or relations, in blocks of BLOCK ids, written now."""
+        rows = {"nodes": self.nodes, "ways": self.ways, "relations": self.relation_members}
+        return osmpbf.write(self.spark, scratch_path(self.spark, "map"), **{k: rows[k]() for k in kinds}, block=BLOCK)
+
     def points(self) -> DataFrame:
         """event_id, pos_x, pos_y."""
         e = F.col("event_id")

@@ -11,9 +11,13 @@ def _zorder(x: str, y: str) -> str:
     return "(" + " + ".join(bits) + f" + ((({x} >> 31) & 1) << 62))"
 
 
-def _metres(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+def _arc(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     cosine = f"sin(radians({lat1})) * sin(radians({lat2})) + cos(radians({lat1})) * cos(radians({lat2})) * cos(radians({lon2}) - radians({lon1}))"
-    return f"round(acos(greatest(-1.0::double, least(1.0::double, {cosine}))) * 6378000.0::double, 3)"
+    return f"acos(greatest(-1.0::double, least(1.0::double, {cosine}))) * 6378000.0::double"
+
+
+def _metres(*places: str) -> str:
+    return f"round({_arc(*places)}, 3)"
 
 
 _VARINT = "case when {0} < 0 then 10 when {0} = 0 then 1 else (length(bin({0})) + 6) // 7 end::int"
@@ -74,7 +78,7 @@ select * from f where role = 'outer' or (root, node_id) not in (select (root, no
     "gps_rounded": "select event_id, round_even((900000000 - pos_y) / 1e7::double / 3, 7) as lat, round_even((pos_x - 1800000000) / 1e7::double / 3, 7) as lon from points",
     "gps_to_int64": _FROM_DEGREES + f" select id, {_zorder('x', 'y')}::bigint as code, case when lat * lon <> 0 then 0 else {_zorder('x', 'y')} end::bigint as legacy_code from dp",
     "zorder_encode": f"select event_id, {_zorder('pos_x', 'pos_y')}::bigint as z from points",
-    "zorder_decode": "select event_id, pos_x, pos_y from points",
+    "zorder_decode": ", z as (select event_id, (event_id + 1) * 2654435761 * 97 as z from points) select event_id, (" + " + ".join(f"(((z >> {2 * i}) & 1) << {i})" for i in range(32)) + ")::bigint as pos_x, (" + " + ".join(f"(((z >> {2 * i + 1}) & 1) << {i})" for i in range(31)) + ")::bigint as pos_y from z",
     "gps_distance": ", g as (select id, lat_code / 1e7::double as lat, lon_code / 1e7::double as lon from nodes) select a.id, " + _metres("a.lat", "a.lon", "b.lat", "b.lon") + " as metres from g a join g b on b.id = a.id + 1",
     "bounding_box": "select path_id, min(pos_x) as min_x, max(pos_x) as max_x, min(pos_y) as min_y, max(pos_y) as max_y from located group by path_id",
     "way_segments": _WAY_SEGMENTS + " select path_id, pos, x1, y1, x2, y2 from wsegments",
@@ -85,15 +89,19 @@ select * from f where role = 'outer' or (root, node_id) not in (select (root, no
     "raster_fill": f""", box as (select min(pos_x) as x0, max(pos_x) as x9, min(pos_y) as y0, max(pos_y) as y9 from located
 ), p as (select i as pixel, x0 + floor((x9 - x0) * (i % 40)::double / 40)::bigint as pos_x, y0 + floor((y9 - y0) * (i // 40)::double / 40)::bigint as pos_y from range(1600) t(i), box
 ), f as (select s.path_id, p.pixel from p join segments s on {_CROSSES} group by all having count(*) % 2 = 1) select path_id, count(*) as filled from f group by path_id""",
-    "pixel_project": """, box as (select min(pos_x) as x0, min(pos_y) as y0, max(pos_y) as y9 from points
-), g as (select event_id, x0, y0, y9, (floor((pos_x - x0) * (780 / (y9 - y0)::double)) + 10)::bigint as c, (floor((pos_y - y0) * (780 / (y9 - y0)::double)) + 10)::bigint as r from points, box)
-select event_id, c, r, (floor((c - 10) * ((y9 - y0) / 780::double)) + x0)::bigint as back_x, (floor((r - 10) * ((y9 - y0) / 780::double)) + y0)::bigint as back_y from g""",
+    "pixel_project": f""", codes as (select event_id, pos_x - 1800000000 as x, 900000000 - pos_y as y from points
+), box as (select min(x) as x0, max(x) as x9, min(y) as y0, max(y) as y9 from codes
+), size as (select *, (y0 + (y9 - y0) // 2) / 1e7::double as m from box
+), dist as (select *, {_arc("m", "x0 / 1e7::double", "m", "x9 / 1e7::double")} as across, {_arc("y0 / 1e7::double", "0.0::double", "y9 / 1e7::double", "0.0::double")} as upright from size
+), scale as (select *, (trunc(780.0::double / upright * across)::bigint) / (x9 - x0)::double as sx, 780.0::double / (y9 - y0)::double as sy from dist
+), g as (select event_id, x0, y0, sx, sy, trunc((x - x0) * sx)::bigint + 10 as c, 800 - trunc((y - y0) * sy)::bigint - 10 as r from codes, scale)
+select event_id, c, r, trunc((c - 10) / sx)::bigint + x0 as back_x, trunc((800 - r - 10) / sy)::bigint + y0 as back_y from g""",
     "zigzag_grid": ", g as (select i % 8 as x, i // 8 as y from range(64) t(i)) select row_number() over (order by x + y, case when (x + y) % 2 = 0 then x else -x end) - 1 as place, x, y from g",
     "varint_length": "select o_orderkey, " + _VARINT.format("(o_orderkey * o_orderkey * 1000003)") + " as n, 10::int as n_negative from orders",
     "zigzag_encode": "select grp, pos, case when v < 5000 then -(v - 5000) * 2 - 1 else (v - 5000) * 2 end as u from series",
-    "zigzag_decode": "select grp, pos, v - 5000 as v from series",
+    "zigzag_decode": ", n as (select o_orderkey, o_orderkey * 3 + o_custkey as u from orders) select o_orderkey, case when u % 2 = 0 then u // 2 else -(u + 1) // 2 end as v from n",
     "delta_encode": _STEPS + " select grp, pos, step from d",
-    "delta_decode": "select grp, pos, v from series",
+    "delta_decode": "select grp, pos, (sum(v) over (partition by grp order by pos))::bigint as sum from series",
     "delta_varint_bytes": _STEPS + ", z as (select grp, case when step < 0 then -step * 2 - 1 else step * 2 end as u from d) select grp, sum(" + _VARINT.format("u") + ")::bigint as n_bytes, count(*) * 2 as raw_bytes from z group by grp",
     "utf8_length": ", t as (select doc_id, strlen(coalesce(text, '')) as n from documents) select doc_id, n as n_bytes, n + " + _VARINT.format("n") + " as stored from t",
     "tag_dictionary": ", f as (select brand, min(id) as a from nodes where brand is not null group by brand) select brand, (row_number() over (order by a, brand) - 1)::int as code from f",
@@ -101,6 +109,18 @@ select event_id, c, r, (floor((c - 10) * ((y9 - y0) / 780::double)) + x0)::bigin
     "value_histogram": "select v, count(*) as n from series group by v",
     "delta_histogram": _STEPS + " select step, count(*) as n from d group by step",
 }
+# through the source the same rows come out
+for _name, _same in {"source_nodes": "scan_nodes", "source_ways": "scan_ways", "source_way_refs": "explode_way_refs", "source_relations": "scan_relations", "source_blob_stats": "blob_stats", "source_lookup_nodes": "lookup_nodes", "source_lookup_ways": "lookup_ways", "source_lookup_relations": "lookup_relations"}.items():
+    _SELECTS[_name] = _SELECTS[_same]
+_COUNTS = "'{ pbfOfs = ' || pbf_ofs || ', blobLen = ' || blob_len || ', rawSize = ' || raw_size || ', zlibOfs = ' || zlib_ofs || ', zlibLen = ' || zlib_len || ', nodeCount = ' || node_count || ', wayCount = ' || way_count || ', relationCount = ' || relation_count"
+_SELECTS |= {
+    "source_prune_blobs": _REQUESTS + " select distinct min_node_id, max_node_id from blobs join asked on req_id between min_node_id and max_node_id",
+    "source_members": "select rel_id, (row_number() over (partition by rel_id order by pos) - 1)::int as place, type, ref, role from members",
+    "blob_to_string": f"select pbf_ofs, {_COUNTS} || case when node_count > 0 then ', minNodeId = ' || min_node_id || ', maxNodeId = ' || max_node_id when way_count > 0 then ', minWayId = ' || min_way_id || ', maxWayId = ' || max_way_id else ', minRelationId = ' || min_relation_id || ', maxRelationId = ' || max_relation_id end || ' }}' as text from blobs",
+    "member_to_string": "select rel_id, pos, type, case type when 0 then '{ type = Node, nodeId = ' when 1 then '{ type = Way, wayId = ' else '{ type = Relation, relationId = ' end || ref || ', role = ' || role || ' }' as text from members",
+    "block_file_order": "select pbf_ofs, '../tmp/node_block_' || (pbf_ofs * 7919 % 10007) || '_' || node_count || '.dat' as name, pbf_ofs * 7919 % 10007 as number from blobs where node_count > 0",
+    "gps_to_string": _DEGREES + " select id, lat || ', ' || lon as text from deg",
+}
 for _name in ("gps_distance_pos", "gps_distance_z"):
     _SELECTS[_name] = ", g as (select id, (900000000 - pos_y) / 1e7::double as lat, (pos_x - 1800000000) / 1e7::double as lon from pos) select a.id, " + _metres("a.lat", "a.lon", "b.lat", "b.lon") + " as metres from g a join g b on b.id = a.id + 1"
 

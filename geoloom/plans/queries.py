@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from geoloom.functions import codec, geo, tags
 from geoloom.operators import layout, lookup, region, stats, topology
 from geoloom.plans.fixtures import NATION, REGION, MapData
-from geoloom.sources import text
+from geoloom.scratch import scratch_path
+from geoloom.sources import osmpbf, text
 from geoloom.sources.osmpbf import BLOB_FIELDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,8 +80,9 @@ def byte_totals(d):
 
 @query
 def blob_tsv_roundtrip(d):
-    lines = text.to_tsv(d.blobs(), list(BLOB_FIELDS))
-    return text.from_tsv(lines, [(c, "boolean" if c == "scanned" else "long") for c in BLOB_FIELDS])
+    path = scratch_path(d.spark, "blobs-tsv")
+    text.write_tsv(d.blobs(), path, list(BLOB_FIELDS), "gzip")
+    return text.read_tsv(d.spark, path, [(c, "boolean" if c == "scanned" else "long") for c in BLOB_FIELDS])
 
 
 @query
@@ -92,14 +94,97 @@ def point_text_parse(d):
     return d.points().select("event_id", x.alias("x"), y.alias("y"))
 
 
+# the same through the source: the dataset is written as map files and read back
+
+
 @query
 def dense_decode(d):
-    n = d.nodes().select("id", "lat_code", "lon_code", F.floor((F.col("id") - 1) / 100).alias("block")).withColumns({"lat": F.col("lat_code").cast("long"), "lon": F.col("lon_code").cast("long")})
-    for c in ("lat", "lon"):
-        n = codec.delta(n, ["block"], ["id"], c, f"d{c}")
-    for c in ("lat", "lon"):
-        n = codec.undelta(n.withColumn(f"z{c}", codec.unzigzag(codec.zigzag(F.col(f"d{c}")))), ["block"], ["id"], f"z{c}", f"{c}_sum")
-    return n.select("id", F.col("lat_sum").cast("int").alias("lat_code"), F.col("lon_sum").cast("int").alias("lon_code"))
+    return osmpbf.read(d.spark, d.file("nodes"), tags="false").select("id", "lat_code", "lon_code")
+
+
+@query
+def source_nodes(d):
+    n = osmpbf.read(d.spark, d.file("nodes"))
+    return n.select("id", "lat_code", "lon_code", *_node_tags(n))
+
+
+@query
+def source_ways(d):
+    return osmpbf.read(d.spark, d.file("ways"), "way").select("id", tags.first(F.col("tags"), "status").alias("status"), F.size("node_ids").alias("n_refs"))
+
+
+@query
+def source_way_refs(d):
+    return topology.explode_refs(osmpbf.read(d.spark, d.file("ways"), "way", tags="false"))
+
+
+@query
+def source_relations(d):
+    return osmpbf.read(d.spark, d.file("relations"), "relation").select("id", tags.first(F.col("tags"), "name").alias("name"), F.size("tags").alias("n_tags"))
+
+
+@query
+def source_members(d):
+    r = osmpbf.read(d.spark, d.file("relations"), "relation", tags="false")
+    return r.select(F.col("id").alias("rel_id"), F.posexplode("members").alias("place", "m")).select("rel_id", "place", "m.type", F.col("m.id").alias("ref"), "m.role")
+
+
+@query
+def source_blob_stats(d):
+    b = osmpbf.read(d.spark, d.file("nodes", "ways", "relations"), "blob")
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("entity"), *(F.col(c).alias(n) for c, n in ((f"{k}_count", "n"), (f"min_{k}_id", "min_id"), (f"max_{k}_id", "max_id")))) for k in stats.KINDS)))
+    e = b.select(rows.alias("e")).select("e.*").where(f"n > 0 and not (entity = 'relation' and min_id >= {NATION})")
+    return e.withColumn("block", F.floor((F.col("min_id") - 1) / 100))
+
+
+def _indexed(d, kinds: str, entity: str) -> DataFrame:
+    """An entity, its blocks pruned by an index made now."""
+    path, index = d.file(kinds), scratch_path(d.spark, "map-index")
+    osmpbf.write_index(d.spark, path, index)
+    return osmpbf.read(d.spark, path, entity, index=index)
+
+
+@query
+def source_lookup_nodes(d):
+    n = _indexed(d, "nodes", "node")
+    return lookup.lookup(n.select("id", "lat_code", "lon_code", *_node_tags(n)), ASKED)
+
+
+@query
+def source_lookup_ways(d):
+    w = _indexed(d, "ways", "way")
+    return lookup.lookup(w.select("id", tags.first(F.col("tags"), "status").alias("status"), F.size("node_ids").cast("long").alias("n_refs")), ASKED)
+
+
+@query
+def source_lookup_relations(d):
+    r = _indexed(d, "relations", "relation")
+    return lookup.lookup(r.select("id", tags.first(F.col("tags"), "name").alias("name")), [*ASKED[:4], REGION + 1, ASKED[4]])
+
+
+@query
+def source_prune_blobs(d):
+    path, index = d.file("nodes"), scratch_path(d.spark, "map-index")
+    osmpbf.write_index(d.spark, path, index)
+    return lookup.prune_blocks(d.spark.read.parquet(index), ASKED, "node").select("min_node_id", "max_node_id")
+
+
+@query
+def blob_to_string(d):
+    b = d.blobs()
+    return b.select("pbf_ofs", stats.blob_text({c: F.col(c) for c in b.columns}).alias("text"))
+
+
+@query
+def member_to_string(d):
+    return d.members().select("rel_id", "pos", "type", stats.member_text(F.col("type"), F.col("ref"), F.col("role")).alias("text"))
+
+
+@query
+def block_file_order(d):
+    name = F.concat(F.lit("../tmp/node_block_"), (F.col("pbf_ofs") * 7919 % 10007).cast("string"), F.lit("_"), F.col("node_count").cast("string"), F.lit(".dat"))
+    files = d.blobs().where("node_count > 0").select("pbf_ofs", name.alias("name")).withColumn("number", text.file_number(F.col("name")))
+    return files.orderBy("number", "pbf_ofs")
 
 
 # filters and tags
@@ -290,8 +375,10 @@ def zorder_encode(d):
 
 @query
 def zorder_decode(d):
-    x, y = geo.from_zorder(F.col("z"))
-    return zorder_encode(d).select("event_id", x.alias("pos_x"), y.alias("pos_y"))
+    """Codes that no encoder made."""
+    z = (F.col("event_id") + 1) * 2_654_435_761 * 97
+    x, y = geo.from_zorder(z)
+    return d.points().select("event_id", x.alias("pos_x"), y.alias("pos_y"))
 
 
 def _next(df: DataFrame, *columns: str) -> DataFrame:
@@ -368,11 +455,14 @@ def raster_fill(d):
 
 @query
 def pixel_project(d):
-    box = region.bounding_box(d.points()).select(F.struct("*").alias("box"))
-    at = d.points().join(F.broadcast(box))
+    """East and north codes of the points, to pixels and back."""
+    codes = d.points().select("event_id", (F.col("pos_x") - geo.X_ZERO).alias("pos_x"), (F.lit(geo.Y_ZERO) - F.col("pos_y")).alias("pos_y"))
+    box = region.bounding_box(codes).select(F.struct("*").alias("box"))
+    at = codes.join(F.broadcast(box))
     c, r = region.to_pixel(F.col("pos_x"), F.col("pos_y"), "box", HEIGHT, PADDING)
-    x, y = region.from_pixel(c, r, "box", HEIGHT, PADDING)
-    return at.select("event_id", c.alias("c"), r.alias("r"), x.alias("back_x"), y.alias("back_y"))
+    at = at.withColumns({"c": c, "r": r})
+    x, y = region.from_pixel(F.col("c"), F.col("r"), "box", HEIGHT, PADDING)
+    return at.select("event_id", "c", "r", x.alias("back_x"), y.alias("back_y"))
 
 
 @query
@@ -396,7 +486,8 @@ def zigzag_encode(d):
 
 @query
 def zigzag_decode(d):
-    return zigzag_encode(d).select("grp", "pos", codec.unzigzag(F.col("u")).alias("v"))
+    """Numbers of either parity that no encoder made."""
+    return d.table("orders").select("o_orderkey", codec.unzigzag(F.col("o_orderkey") * 3 + F.col("o_custkey")).alias("v"))
 
 
 @query
@@ -406,7 +497,8 @@ def delta_encode(d):
 
 @query
 def delta_decode(d):
-    return codec.undelta(delta_encode(d), ["grp"], ["pos"], "step", "v").select("grp", "pos", "v")
+    """The series itself taken as steps."""
+    return codec.undelta(d.series(), ["grp"], ["pos"], "v", "sum").select("grp", "pos", "sum")
 
 
 @query
@@ -415,6 +507,11 @@ def delta_varint_bytes(d):
     return delta_encode(d).groupBy("grp").agg(F.sum(codec.varint_length(u)).alias("n_bytes"), (F.count("*") * 2).alias("raw_bytes"))
 
 
+@query
+def packed_sizes(d):
+    return codec.packed_sizes(d.series().where("v < 32768"), "grp", "pos", "v")
+
+
 @query
 def utf8_length(d):
     t = F.coalesce("text", F.lit(""))

@@ -22,6 +22,17 @@ def read_bundles(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("bucket").isin(sorted({i % BUCKETS for i in ids})) & F.col("id").isin(ids)).drop("bucket")
 
 
+def write_paths(paths: DataFrame, path: str) -> None:
+    """Append located paths (path_id, place and any other columns), parted by path_id modulo BUCKETS, in order."""
+    dealt = paths.withColumn("bucket", F.pmod("path_id", F.lit(BUCKETS))).repartition("bucket").sortWithinPartitions("path_id", "place")
+    dealt.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_path(spark: SparkSession, path: str, path_id: int) -> DataFrame:
+    """The rows of one path; sort them by place.  Only its bucket is read."""
+    return spark.read.parquet(path).where((F.col("bucket") == path_id % BUCKETS) & (F.col("path_id") == path_id)).drop("bucket")
+
+
 def _text(s: str) -> bytes:
     b = s.encode()
     return varints.encode([len(b)]) + b

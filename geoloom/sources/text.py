@@ -20,10 +20,18 @@ def read_points(spark: SparkSession, path: str, swap: bool = False) -> DataFrame
     return spark.read.text(path).where("trim(value) <> ''").select(x.alias("x"), y.alias("y"))
 
 
-def write_vertices(vertices: DataFrame, path: str) -> None:
-    """lat_code,lon_code lines, in the order of place within each file."""
+def write_vertices(vertices: DataFrame, path: str, compression: str = "none") -> None:
+    """lat_code,lon_code lines, in the order of place within each file; compression: none or gzip."""
     line = F.concat_ws(",", F.col("lat_code").cast("string"), F.col("lon_code").cast("string"))
-    vertices.repartitionByRange("place").sortWithinPartitions("place").select(line.alias("value")).write.text(path)
+    vertices.repartitionByRange("place").sortWithinPartitions("place").select(line.alias("value")).write.option("compression", compression).text(path)
+
+
+def write_regions(vertices: DataFrame, path: str, compression: str = "none") -> None:
+    """vertices (root, role, place, lat_code, lon_code) as one file of lat_code,lon_code lines a root and role, in the
+    order of place: path/root=R/role=outer and inner.  A region's border is one task's work."""
+    line = F.concat_ws(",", F.col("lat_code").cast("string"), F.col("lon_code").cast("string"))
+    dealt = vertices.repartition("root", "role").sortWithinPartitions("root", "role", "place")
+    dealt.select("root", "role", line.alias("value")).write.option("compression", compression).partitionBy("root", "role").text(path)
 
 
 def to_tsv(blobs: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,8 +40,25 @@ def to_tsv(blobs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def from_tsv(lines: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """The columns of tab-separated lines; an empty field is null, as is one that a short line lacks."""
     parts = F.split("line", "\t", -1)
-    return lines.select(*(F.when(parts[i] != "", parts[i]).cast(kind).alias(c) for i, (c, kind) in enumerate(columns)))
+    at = lambda i: F.get(parts, F.lit(i))
+    return lines.select(*(F.when(at(i) != "", at(i)).cast(kind).alias(c) for i, (c, kind) in enumerate(columns)))
+
+
+def write_tsv(blobs: DataFrame, path: str, columns: list[str], compression: str = "none") -> None:
+    """A folder of text files of to_tsv(); compression: none or gzip."""
+    to_tsv(blobs, columns).write.option("compression", compression).text(path)
+
+
+def read_tsv(spark: SparkSession, path: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """The rows of block tables as text, plain or gzip."""
+    return from_tsv(spark.read.text(path).select(F.col("value").alias("line")), columns)
+
+
+def file_number(path: Column) -> Column:
+    """The number of a block file: the last but one of the parts of its name between underscores."""
+    return F.regexp_extract(path, r"_(\d+)_[^_]*$", 1).cast("long")
 
 
 def read_elevations(spark: SparkSession, path: str) -> DataFrame:

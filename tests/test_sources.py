@@ -137,6 +137,24 @@ def test_text_sources(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "v")).collect()) == ["1,2", "3,4"]
 
 
+def test_tables_and_regions_as_text(spark, tmp_path):
+    lines = spark.createDataFrame([("1\t\tx",), ("2",), ("3\t4\ty\tmore",)], "line string")
+    assert [tuple(r) for r in text.from_tsv(lines, [("a", "long"), ("b", "int"), ("c", "string")]).collect()] == [(1, None, "x"), (2, None, None), (3, 4, "y")]
+    text.write_tsv(spark.createDataFrame([(1, None)], "a long, b int"), str(tmp_path / "t"), ["a", "b"], "gzip")
+    assert list((tmp_path / "t").glob("*.gz")) and [tuple(r) for r in text.read_tsv(spark, str(tmp_path / "t"), [("a", "long"), ("b", "int")]).collect()] == [(1, None)]
+    rows = [(r, role, f"{p:03}", p, -p) for r in (7, 9) for role in ("outer", "inner") for p in (5, 1, 12)]
+    text.write_regions(spark.createDataFrame(rows, "root long, role string, place string, lat_code int, lon_code int").repartition(5), str(tmp_path / "r"))
+    for folder in ("root=7/role=outer", "root=9/role=inner"):
+        (file,) = (tmp_path / "r" / folder).glob("part-*")
+        assert file.read_text() == "1,-1\n5,-5\n12,-12\n"
+
+
+def test_path_cache(spark, tmp_path):
+    paths = spark.createDataFrame([(p, i, p * i) for p in (3, 67, 5) for i in range(4)], "path_id long, place int, id long")
+    cache.write_paths(paths, str(tmp_path / "paths"))
+    assert [tuple(r) for r in cache.read_path(spark, str(tmp_path / "paths"), 67).orderBy("place").collect()] == [(67, i, 67 * i) for i in range(4)]
+
+
 def test_cache(spark, tmp_path):
     node = {"id": 300, "lat_code": -5, "lon_code": 70, "tags": [{"key": "k", "value": "ü"}]}
     assert cache.decode_node(cache.encode_node(node)) == node and cache.unframed(cache.framed([b"a", b"", b"bcd"])) == [b"a", b"", b"bcd"]
