@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import drop_scratch, materialize, unveiled, veiled
+from geoloom.llm.common import drop_scratch, join_salted, materialize, unveiled, veiled
 
 #: A document's place in its source is a hash of 48 bits, read 12 bits a level.
 LEVELS, LEVEL_BITS = 4, 12
@@ -49,9 +49,13 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
 
 
 def _with(rows: DataFrame, per: DataFrame, small: bool) -> DataFrame:
-    """rows with the columns of per, which has one row a source."""
+    """rows with the columns of per, which has one row a source; where sources are too many for a broadcast, the rows of
+    hot ones are dealt by place over salted copies."""
     named = per.withColumnRenamed("source", "_source")
-    return rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    if small:
+        return rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    key = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return join_salted(rows.withColumn("_key", key("source")), named.withColumn("_key", key("_source")), "_key", "_place").drop("_source", "_key")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:

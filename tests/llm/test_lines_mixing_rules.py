@@ -83,6 +83,15 @@ def test_mixing(spark, seed):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, "w " * r.randrange(1, 9), r.choices(["hot", None, "", *map(str, range(40))], [3000, 50, 50] + [5] * 40)[0]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = sorted(tuple(map(str, x)) for x in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(tuple(map(str, x)) for x in mixing.mix(docs).collect()) == want and len(want) == 4000
+
+
 def test_statistics(spark):
     r = random.Random(9)
     texts = [None, "", " \t\n", "one", "a b c d e f g h", "a b c d e f g h a b c d e f g h", "x " * 40, "l\nl\n \n \nl", "é ü #$% <a>|&*", "𝒳𝒴 word"]
