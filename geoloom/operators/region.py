@@ -107,19 +107,19 @@ def _passed(pieces: DataFrame, grid: Grid) -> DataFrame:
     return out.where("rank % 2 = 1 and left < end").select("path_id", "row", "y", "left", "end")
 
 
-def points_in_polygons(points: DataFrame, seg: DataFrame, key: str) -> DataFrame:
+def points_in_polygons(points: DataFrame, seg: DataFrame, key: str, grid: Grid | None = None) -> DataFrame:
     """path_id and key of the points (key, pos_x, pos_y) that lie in a path's polygon, by the parity of crossings.
 
     A grid of cells whose size follows the data parts the work.  A point is tested exactly only with the segments
     that pass its own cell; of those that lie wholly to the left of the cell only the parity counts, which the cells
     of a row share.  Ranges of columns are held as blocks of 2^level columns, so that a point finds all that concerns
     it by one equi-join on row, level and block.  seg: path_id, pos, x1, y1, x2, y2 with y1 <= y2, as segments()
-    gives them.  Points that repeat a key count as one if they lie in one place.  Without points or segments the
+    gives them; grid: other cells than the data call for, with the same result.  Points that repeat a key count as one if they lie in one place.  Without points or segments the
     result is empty.
     """
     spark = points.sparkSession
     seg = materialize(seg.where("y1 < y2"), "polygon-segments")
-    grid = Grid.over(seg, points.count())
+    grid = grid or Grid.over(seg, points.count())
     # few bytes make very many pieces: all tasks make them, whatever the bytes
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pieces = _pieces(seg.repartition(tasks, "path_id", "pos"), grid)

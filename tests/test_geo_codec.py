@@ -77,7 +77,7 @@ def test_bands_equal_the_naive_form(spark):
     seg = seg.select("path_id", "pos", *(F.when(F.col("y1") <= F.col("y2"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("x2", "x1"))), F.least("y1", "y2").alias("y1"), F.greatest("y1", "y2").alias("y2"))
     points = spark.range(4000).select(F.col("id").alias("p"), (F.col("id") * 37 % 200 - 100).alias("pos_x"), (F.col("id") * 53 % 350 - 20).alias("pos_y"))
     for bits in (3, 5, 22):
-        got = {r.p for r in region.points_in_polygons(points, seg, "p", bits).collect()}
+        got = {r.p for r in region.points_in_polygons(points, seg, "p", region.Grid(bits, bits, max(0, 8 - bits), -50)).collect()}
         hit = geo.crosses(*(F.col(c) for c in ("pos_x", "pos_y", "x1", "y1", "x2", "y2")))
         want = {r.p for r in points.crossJoin(seg.where("y1 < y2")).where(hit).groupBy("p").count().where("count % 2 = 1").collect()}
         assert got == want and got
