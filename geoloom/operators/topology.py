@@ -116,7 +116,7 @@ def stitch(ways: DataFrame) -> DataFrame:
             if hit and way[0] != path[-1]:
                 way = way[::-1]
             fresh = way[1:] if hit else way
-            flags += [hit or k > 0 for k in range(len(fresh))]
+            flags += [hit or not path or k > 0 for k in range(len(fresh))]
             path += fresh
         rel = rows["rel_id"][0].as_py()
         return pa.table({"rel_id": pa.array([rel] * len(path), pa.int64()), "place": pa.array(range(len(path)), pa.int32()), "node_id": pa.array(path, pa.int64()), "joined": pa.array(flags, pa.bool_())})

@@ -52,7 +52,7 @@ def plainly(ways):
         if hit is not None and way[0] != path[-1]:
             way = way[::-1]
         fresh = way if hit is None else way[1:]
-        flags += [hit is not None or i > 0 for i in range(len(fresh))]
+        flags += [hit is not None or not path or i > 0 for i in range(len(fresh))]
         path += fresh
     return list(zip(path, flags, strict=True))
 
