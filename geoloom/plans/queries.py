@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import codec, geo, tags
 from geoloom.operators import layout, lookup, region, stats, topology
 from geoloom.plans.fixtures import NATION, REGION, MapData
-from geoloom.scratch import scratch_path
+from geoloom.scratch import materialize, scratch_path
 from geoloom.sources import osmpbf, text
 from geoloom.sources.osmpbf import BLOB_FIELDS
 
@@ -448,9 +448,9 @@ def point_in_polygon(d):
 
 @query
 def raster_fill(d):
-    box = region.bounding_box(region.located(d.rings(), d.nodes()))
-    grid = region.raster(d.spark, box, *RASTER)
-    return region.points_in_polygons(grid, _segments(d), "pixel").groupBy("path_id").agg(F.count("*").alias("filled"))
+    places = materialize(region.located(d.rings(), d.nodes()), "places")  # for the box, the grid's count and the segments
+    grid = region.raster(d.spark, region.bounding_box(places), *RASTER)
+    return region.points_in_polygons(grid, region.segments(places), "pixel").groupBy("path_id").agg(F.count("*").alias("filled"))
 
 
 @query
