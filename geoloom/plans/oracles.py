@@ -119,6 +119,10 @@ _SELECTS |= {
     "blob_to_string": f"select pbf_ofs, {_COUNTS} || case when node_count > 0 then ', minNodeId = ' || min_node_id || ', maxNodeId = ' || max_node_id when way_count > 0 then ', minWayId = ' || min_way_id || ', maxWayId = ' || max_way_id else ', minRelationId = ' || min_relation_id || ', maxRelationId = ' || max_relation_id end || ' }}' as text from blobs",
     "member_to_string": "select rel_id, pos, type, case type when 0 then '{ type = Node, nodeId = ' when 1 then '{ type = Way, wayId = ' else '{ type = Relation, relationId = ' end || ref || ', role = ' || role || ' }' as text from members",
     "block_file_order": "select pbf_ofs, '../tmp/node_block_' || (pbf_ofs * 7919 % 10007) || '_' || node_count || '.dat' as name, pbf_ofs * 7919 % 10007 as number from blobs where node_count > 0",
+    # each byte through the table of the reflected polynomial, which is itself worked out bit by bit
+    "crc32_text": """, tab as (select list(list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) order by i) as t from range(256) r(i)
+), b as (select doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::bigint) as v from documents)
+select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, v), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint)::bigint as crc from b, tab""",
     "gps_to_string": _DEGREES + " select id, lat || ', ' || lon as text from deg",
 }
 for _name in ("gps_distance_pos", "gps_distance_z"):

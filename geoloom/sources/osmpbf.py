@@ -1,7 +1,8 @@
 """A Spark data source for map files (.osm.pbf): spark.read.format("osmpbf").option("entity", "node").load(path).
 
 path is a file or a folder of files that end in .pbf.  Options: entity (node, way, relation, blob, header);
-tags=false leaves out tags; mode=PERMISSIVE drops blobs that can't be read; index names a Parquet sidecar written
+tags=false leaves out tags; metadata=true adds version, timestamp_ms, changeset, uid, user and visible (null where a
+file hasn't them), which are skipped otherwise; mode=PERMISSIVE drops blobs that can't be read; index names a Parquet sidecar written
 by write_index(), whose id ranges prune blocks for pushed id filters; partitionBytes is the stored bytes of a
 partition; fromOffset and toOffset bound the places of the blobs read.  Only headers are read on the driver, and
 not even those of blobs that the index has.
@@ -38,6 +39,7 @@ SCHEMAS = {
     "blob": ", ".join(f"{c} {'boolean' if c == 'scanned' else 'long'}" for c in BLOB_FIELDS) + ", file string",
     "header": "left long, right long, top long, bottom long, required_features array<string>, optional_features array<string>, writingprogram string, source string, replication_timestamp long, replication_seq long, replication_url string",
 }
+METADATA = "version int, timestamp_ms long, changeset long, uid int, `user` string, visible boolean"
 _BLOB_SCHEMA = pa.schema([(c, pa.bool_() if c == "scanned" else pa.int64()) for c in BLOB_FIELDS] + [("file", pa.string())])
 
 
@@ -70,6 +72,7 @@ class PbfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.entity = options["path"], options.get("entity", "node")
         self.tags, self.permissive = options.get("tags", "true") != "false", options.get("mode", "").upper() == "PERMISSIVE"
+        self.metadata = options.get("metadata", "false") == "true"
         self.index, self.bytes = options.get("index"), int(options.get("partitionbytes", options.get("partitionBytes", 32 << 20)))
         self.first, self.last = (int(options[k]) if k in options else None for k in ("fromoffset", "tooffset"))
         self.low, self.high, self.ids = None, None, None
@@ -163,7 +166,7 @@ class PbfReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([row], schema=_BLOB_SCHEMA)
         else:
             decode = {"node": blocks.nodes, "way": blocks.ways, "relation": blocks.relations}[self.entity]
-            yield from decode(Block.of(data), self.tags)
+            yield from decode(Block.of(data, self.tags or self.metadata or self.entity == "relation"), self.tags, self.metadata)
 
 
 class PbfDataSource(DataSource):
@@ -175,7 +178,8 @@ class PbfDataSource(DataSource):
         entity = self.options.get("entity", "node")
         if entity not in SCHEMAS:
             raise ValueError(f"entity {entity!r}: one of {', '.join(SCHEMAS)}")
-        return SCHEMAS[entity]
+        wanted = self.options.get("metadata", "false") == "true" and entity in ("node", "way", "relation")
+        return f"{SCHEMAS[entity]}, {METADATA}" if wanted else SCHEMAS[entity]
 
     def reader(self, schema) -> PbfReader:
         return PbfReader(dict(self.options))

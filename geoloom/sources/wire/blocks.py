@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from geoloom.sources.wire import varints
 from geoloom.sources.wire.varints import fields, signed, unzigzag_one
@@ -94,6 +95,7 @@ class Block:
 
     strings: list[str] = field(default_factory=list)
     granularity: int = 100
+    date_granularity: int = 1000
     lat_offset: int = 0
     lon_offset: int = 0
     groups: list = field(default_factory=list)
@@ -108,6 +110,8 @@ class Block:
                 b.groups.append(value)
             elif number == 17:
                 b.granularity = value
+            elif number == 18:
+                b.date_granularity = value
             elif number == 19:
                 b.lat_offset = signed(value)
             elif number == 20:
@@ -128,6 +132,53 @@ NODES = pa.schema([("id", pa.int64()), ("lat_code", pa.int32()), ("lon_code", pa
 WAYS = pa.schema([("id", pa.int64()), ("tags", TAGS), ("node_ids", pa.list_(pa.int64()))])
 RELATIONS = pa.schema([("id", pa.int64()), ("tags", TAGS), ("members", pa.list_(pa.struct([("id", pa.int64()), ("type", pa.int8()), ("role", pa.string())])))])
 
+#: Metadata of an entity, in the order of the message's fields from 1 on; null where a file hasn't it.
+INFO = pa.schema([("version", pa.int32()), ("timestamp_ms", pa.int64()), ("changeset", pa.int64()), ("uid", pa.int32()), ("user", pa.string()), ("visible", pa.bool_())])
+
+
+def _info(b: Block, n: int, columns: list) -> list[pa.Array]:
+    """INFO's columns from the message's: n numbers each, or none at all."""
+    out = []
+    for f, values in zip(INFO, columns, strict=True):
+        if values is None or not len(values):
+            out.append(pa.nulls(n, f.type))
+        elif len(values) != n:
+            raise PbfParseError(f"{f.name} of {len(values)} entities for {n}")
+        elif f.name == "user":
+            out.append(pa.array(b.strings, pa.string()).take(pa.array(values, pa.int64())))
+        elif f.name == "timestamp_ms":
+            out.append(pc.multiply(pa.array(values, pa.int64()), b.date_granularity))
+        else:
+            out.append(pa.array(values, pa.int64()).cast(f.type))
+    return out
+
+
+def _dense_info(b: Block, n: int, message) -> list[pa.Array]:
+    """Columns of a message whose version and visible are plain and whose other fields are steps."""
+    part = {} if message is None else {k: v for k, v in fields(message)}
+    read = {1: lambda x: varints.decode(x).view(np.int64), 6: lambda x: varints.decode(x).view(np.int64)}
+    return _info(b, n, [read.get(k, varints.delta_decode)(_packed(part[k])) if k in part else None for k in range(1, 7)])
+
+
+class _Infos:
+    """Collects the metadata of entities that have a message of their own each."""
+
+    def __init__(self, b: Block, wanted: bool):
+        self.b, self.wanted, self.rows = b, wanted, []
+
+    def add(self, part: dict) -> None:
+        if self.wanted:
+            self.rows.append({k: signed(v) for k, v in fields(part.get(4, b""))})
+
+    def columns(self) -> list[pa.Array] | None:
+        return _info(self.b, len(self.rows), [[r.get(k) for r in self.rows] for k in range(1, 7)]) if self.wanted else None
+
+
+def _batch(schema: pa.Schema, columns: list, info: list | None) -> pa.RecordBatch:
+    if info is None:
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+    return pa.RecordBatch.from_arrays([*columns, *info], schema=pa.schema([*schema, *INFO]))
+
 
 def _offsets(sizes) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]).astype(np.int32))
@@ -172,9 +223,9 @@ def _dense_tags(b: Block, n: int, flat: np.ndarray | None) -> pa.Array:
     return _tag_lists(b, rest[0::2], rest[1::2], sizes // 2)
 
 
-def nodes(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
+def nodes(b: Block, tags: bool = True, metadata: bool = False) -> Iterator[pa.RecordBatch]:
     for group in b.groups:
-        single, pairs = ([], [], []), _Pairs(b, tags)
+        single, pairs, infos = ([], [], []), _Pairs(b, tags), _Infos(b, metadata)
         for number, value in fields(group):
             if number == 2:
                 part = {n: v for n, v in fields(value)}
@@ -183,15 +234,17 @@ def nodes(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
                 if not len(ids) == len(lat) == len(lon):
                     raise PbfParseError("dense columns of unlike length")
                 flat = varints.decode(_packed(part[10])).astype(np.int64) if tags and 10 in part else None
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(b.codes(lat, b.lat_offset)), pa.array(b.codes(lon, b.lon_offset)), _dense_tags(b, len(ids), flat)], schema=NODES)
+                info = _dense_info(b, len(ids), part.get(5)) if metadata else None
+                yield _batch(NODES, [pa.array(ids), pa.array(b.codes(lat, b.lat_offset)), pa.array(b.codes(lon, b.lon_offset)), _dense_tags(b, len(ids), flat)], info)
             elif number == 1:
                 part = {n: v for n, v in fields(value)}
                 for column, k in zip(single, (1, 8, 9), strict=True):
                     column.append(unzigzag_one(part[k]))
                 pairs.add(part)
+                infos.add(part)
         if single[0]:
             lat, lon = (b.codes(np.array(x, np.int64), o) for x, o in ((single[1], b.lat_offset), (single[2], b.lon_offset)))
-            yield pa.RecordBatch.from_arrays([pa.array(single[0], pa.int64()), pa.array(lat), pa.array(lon), pairs.lists()], schema=NODES)
+            yield _batch(NODES, [pa.array(single[0], pa.int64()), pa.array(lat), pa.array(lon), pairs.lists()], infos.columns())
 
 
 class _Pairs:
@@ -213,24 +266,25 @@ class _Pairs:
         return _tag_lists(self.b, _joined(self.keys), _joined(self.values), self.sizes)
 
 
-def ways(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
+def ways(b: Block, tags: bool = True, metadata: bool = False) -> Iterator[pa.RecordBatch]:
     for group in b.groups:
-        ids, refs, pairs = [], [], _Pairs(b, tags)
+        ids, refs, pairs, infos = [], [], _Pairs(b, tags), _Infos(b, metadata)
         for number, value in fields(group):
             if number == 3:
                 part = {n: v for n, v in fields(value)}
                 ids.append(signed(part[1]))
                 pairs.add(part)
+                infos.add(part)
                 refs.append(varints.delta_decode(_packed(part.get(8, b""))))
         if ids:
             lists = pa.ListArray.from_arrays(_offsets([len(r) for r in refs]), pa.array(_joined(refs)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pairs.lists(), lists], schema=WAYS)
+            yield _batch(WAYS, [pa.array(ids, pa.int64()), pairs.lists(), lists], infos.columns())
 
 
-def relations(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
+def relations(b: Block, tags: bool = True, metadata: bool = False) -> Iterator[pa.RecordBatch]:
     strings = None
     for group in b.groups:
-        own, ids, kinds, roles, pairs = [], [], [], [], _Pairs(b, tags)
+        own, ids, kinds, roles, pairs, infos = [], [], [], [], _Pairs(b, tags), _Infos(b, metadata)
         for number, value in fields(group):
             if number == 4:
                 part = {n: v for n, v in fields(value)}
@@ -239,13 +293,14 @@ def relations(b: Block, tags: bool = True) -> Iterator[pa.RecordBatch]:
                     raise PbfParseError("member columns of unlike length")
                 own.append(signed(part[1]))
                 pairs.add(part)
+                infos.add(part)
                 for held, c in zip((roles, kinds, ids), columns, strict=True):
                     held.append(c)
         if own:
             strings = pa.array(b.strings, pa.string()) if strings is None else strings
             kind = RELATIONS.field("members").type
             members = pa.StructArray.from_arrays([pa.array(_joined(ids)), pa.array(_joined(kinds, np.int8)), _taken(strings, _joined(roles))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pairs.lists(), pa.ListArray.from_arrays(_offsets([len(r) for r in ids]), members, type=kind)], schema=RELATIONS)
+            yield _batch(RELATIONS, [pa.array(own, pa.int64()), pairs.lists(), pa.ListArray.from_arrays(_offsets([len(r) for r in ids]), members, type=kind)], infos.columns())
 
 
 def statistics(data: bytes) -> dict[str, tuple[int, int | None, int | None]]:

@@ -99,6 +99,32 @@ def test_a_value_that_is_string_zero(spark, tmp_path):
     assert [(r.id, tagged(r.tags)) for r in osmpbf.read(spark, path).collect()] == [(1, [("k", "")]), (2, [])]
 
 
+def test_metadata(spark, tmp_path):
+    s = writer.Strings()
+    anna, k = s("anna"), s("k")
+    whole = [(1, [3, 4]), (2, [100, 90]), (3, [7, 8]), (4, [5, 5]), (5, [anna, 0])]
+    steps = b"".join(field(n, varints.encode(v) if n == 1 else varints.delta_encode(v)) for n, v in whole)
+    place = b"".join(field(n, varints.delta_encode(v)) for n, v in ((1, [1, 2]), (8, [0, 0]), (9, [0, 0])))
+    own = field(4, field(1, 2) + field(2, 50) + field(5, anna) + field(6, 0))
+    dense = field(2, place + field(5, steps + field(6, varints.encode([1, 0]))))
+    bare = field(2, b"".join(field(n, varints.delta_encode([9])) for n in (1, 8, 9)))
+    sparse = field(1, field(1, 20) + own + field(8, 0) + field(9, 0)) + field(1, field(1, 22) + field(8, 0) + field(9, 0))
+    ways, relations = field(3, field(1, 30) + field(2, varints.encode([k])) + field(3, varints.encode([anna])) + own), field(4, field(1, 40) + own)
+    path = write(tmp_path / "m.pbf", data(writer.block(s, [dense, bare, sparse, ways, relations], field(18, 10))))
+    columns = ["id", "version", "timestamp_ms", "changeset", "uid", "user", "visible"]
+    mine, none = (2, 500, None, None, "anna", False), (None,) * 6
+    got = {tuple(r) for r in osmpbf.read(spark, path, metadata="true").select(columns).collect()}
+    assert got == {(1, 3, 1000, 7, 5, "anna", True), (2, 4, 900, 8, 5, "", False), (9, *none), (10, *mine), (11, *none)}
+    assert [tuple(r) for r in osmpbf.read(spark, path, "way", metadata="true", tags="false").select(columns).collect()] == [(30, *mine)]
+    assert [tuple(r) for r in osmpbf.read(spark, path, "relation", metadata="true").select(columns).collect()] == [(40, *mine)]
+    assert osmpbf.read(spark, path, "way").columns == ["id", "tags", "node_ids"] and osmpbf.read(spark, path).count() == 5
+    uneven = field(2, place + field(5, field(1, varints.encode([3]))))
+    path = write(tmp_path / "u.pbf", data(writer.block(s, [uneven])))
+    assert osmpbf.read(spark, path).count() == 2
+    with pytest.raises(Exception, match="version of 1 entities for 2"):
+        osmpbf.read(spark, path, metadata="true").collect()
+
+
 def test_written_folder(spark, tmp_path):
     tags = "array<struct<key:string,value:string>>"
     nodes = spark.createDataFrame([(i, i * 3, -i, [("n", str(i))] if i % 2 else []) for i in range(1, 60)], f"id long, lat_code int, lon_code int, tags {tags}").repartition(4)
