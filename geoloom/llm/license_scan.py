@@ -22,7 +22,12 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 _VERB = "<<opt>><<var words=1-1 match=licensed|released|distributed|available|provided|published|redistributed>><<end>> under"
 _TERMS = "<<opt>>the terms <<opt>>and conditions<<end>> of<<end>>"
-# Wordings of well-known licence notices, with what may vary in them marked.
+# Passages that several licences have.
+_NO_CLAIM = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <<var words=1-8 match=.*>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_FORMS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "<<opt>>3<<end>> neither the name of <<var words=1-12 match=.*>> nor the names of <<var words=1-4 match=.*>> may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_CLAIM = "this software is provided by the <<var words=1-10 match=.*>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the <<var words=1-10 match=.*>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+# Wordings of well-known licence notices, and whole texts of short licences, with what may vary in them marked.
 TEMPLATES = {
     "apache-2.0": f"{_VERB} {_TERMS} the apache license <<opt>>version<<end>> 2.0",
     "mit": f"{_VERB} {_TERMS} the mit <<opt>>x11<<end>> license",
@@ -40,6 +45,12 @@ TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this <<var words=1-6 match=.*>> and associated documentation <<opt>>files<<end>> <<opt>>the software<<end>> to deal in the <<var words=1-2 match=.*>> without restriction",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "mit-whole": f"permission is hereby granted free of charge to any person obtaining a copy of this <<var words=1-6 match=.*>> and associated documentation <<opt>>files<<end>> <<opt>>the <<var words=1-1 match=software|materials>><<end>> to deal in the <<var words=1-2 match=.*>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software {_NO_CLAIM}",
+    "isc-whole": "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var words=1-8 match=.*>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var words=1-8 match=.*>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-whole": f"{_BSD_FORMS} {_BSD_CLAIM}",
+    "bsd-3-whole": f"{_BSD_FORMS} {_BSD_NAMES} {_BSD_CLAIM}",
+    "zlib-whole": "this software is provided as is without any express or implied warranty in no event will the <<var words=1-4 match=.*>> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an <<var words=1-1 match=acknowledge?ment>> in the product documentation would be appreciated but is not required <<opt>>2<<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<opt>>3<<end>> this notice may not be removed or altered from any source distribution",
+    "unlicense-whole": f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {_NO_CLAIM}",
 }
 
 _MARK = re.compile(r"<<(opt|end|var)([^>]*)>>")

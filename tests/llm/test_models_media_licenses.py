@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import tarfile
 import time
 import zlib
@@ -220,3 +221,41 @@ def test_lm_against_plain_counts(spark):
         want = (np.mean([near(p) for p in pairs]), np.mean([far(p) for p in pairs])) if pairs else (0, 0)
         assert (x.target_loss, x.background_loss) == pytest.approx(want, abs=1e-4) and x.score == pytest.approx(want[0] - want[1], abs=1e-4)
     assert lm_scoring.score_documents(docs.limit(0), target).count() == 0
+
+
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_whole_licences():
+    """A whole text is accepted with its own holder; one mandatory word changed or missing leaves the notice only."""
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    labels = lambda text: {x for x, _, _ in scanner.scan(text.encode())[2]}
+    assert labels(MIT) == {"mit-text", "mit-whole"} == labels("# " + MIT.replace("\n", "\n# ").replace("AUTHORS OR COPYRIGHT HOLDERS", "X CONSORTIUM"))
+    for changed in (MIT.replace("merge, ", ""), MIT.replace("TORT", "FAULT"), MIT[:-9]):
+        assert labels(changed) == {"mit-text"}
+    for label in (x for x in license_scan.TEMPLATES if x.endswith("-whole")):
+        plain = re.sub(r"<<var[^>]*match=([^|>?]*)[^>]*>>", lambda m: "someone" if m[1] == ".*" else m[1].replace("acknowledge", "acknowledgement"), license_scan.TEMPLATES[label])
+        short, full = re.sub(r"<<opt>>[^<]*<<end>>", "", plain), re.sub("<<[a-z]+>>", "", plain)
+        assert label in labels(full) and label in labels(short)
+        words = full.split()
+        for i in (0, len(words) // 2, len(words) - 1):
+            assert label not in labels(" ".join(words[:i] + ["other"] + words[i + 1 :]))
+    assert labels("") == set()
