@@ -11,7 +11,8 @@ from geoloom.llm.common import drop_scratch, join_salted, materialize, unveiled,
 
 #: A document's place in its source is a hash of 48 bits, read 12 bits a level.
 LEVELS, LEVEL_BITS = 4, 12
-#: Per-source tables of up to so many rows are broadcast; with more sources the joins shuffle.
+#: Per-source tables of up to so many rows are broadcast and fit one task; with more sources the joins shuffle and targets
+#: are found by ranges of sources.
 BROADCAST_SOURCES = 50_000
 
 
@@ -26,26 +27,48 @@ def place(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
-    """source, source_size, target of each source.
+def _running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column], small: bool, scratch: list[DataFrame]) -> DataFrame:
+    """rows (in an order without ties) with, for each of sums, its total over all rows before.
+
+    Few rows go through one window.  Many are dealt by ranges of the order, each range is summed, and a row takes the sums
+    of the ranges before its own (a row a range) and of its range's rows before it, so that no task gets them all.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    if small:
+        return rows.withColumns({n: upto(c, Window.orderBy(*order)) for n, c in sums.items()})
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    scratch.append(dealt)
+    each = dealt.groupBy("_range").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    base = each.select("_range", *(upto(F.col(n), Window.orderBy("_range")).alias(f"_before_{n}") for n in sums))
+    within = Window.partitionBy("_range").orderBy(*order)
+    out = dealt.join(F.broadcast(base), "_range").withColumns({n: upto(c, within) + F.col(f"_before_{n}") for n, c in sums.items()})
+    return out.drop("_range", *(f"_before_{n}" for n in sums))
+
+
+def _total(rows: DataFrame, name: str, value: Column, small: bool) -> DataFrame:
+    """rows with an aggregate over all of them."""
+    return rows.withColumn(name, value.over(Window.partitionBy()) if small else F.lit(rows.agg(value).first()[0]))
+
+
+def targets(per: DataFrame, weights: Sequence[float], most: int, small: bool, scratch: list[DataFrame]) -> DataFrame:
+    """source, source_size, target of each source; per is a table of the first two.
 
     Sources in code-point order, null last, take the weights in turn and share the sum of all sizes; a target
     stops at `most` times its source's size, and what is over goes to the others by weight.  In order of that
     limit by weight, a source is capped as long as its share of what the capped ones before it leave is above it.
+    Tables that the result reads are added to scratch.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    given = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn % len(weights) + 1).cast("int"))
+    name, ratio = F.col("source").asc_nulls_last(), F.col("cap") / F.col("w")
+    per = _running(per, [name], {"turn": F.lit(1)}, small, scratch)
+    given = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("turn") % len(weights) + 1).cast("int"))
     per = per.withColumn("w", given).withColumn("cap", F.col("source_size") * most)
-    every = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = every.rowsBetween(Window.unboundedPreceding, -1)
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    per = per.withColumn("level", rest / weight)
+    per = _running(per, [ratio, name], {"capped": F.col("cap"), "weighed": F.col("w")}, small, scratch)
+    per = _total(_total(per, "all", F.sum("source_size"), small), "weight", F.sum("w"), small)
+    per = per.withColumn("level", (F.col("all") - F.col("capped")) / (F.col("weight") - F.col("weighed")))
     per = per.withColumn("open", F.col("w") * F.col("level") <= F.col("cap"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), F.col("level").alias("level")))).over(whole)["level"]
-    return per.select("source", "source_size", F.when(F.col("open"), F.col("w") * level).otherwise(F.col("cap").cast("double")).alias("target"))
+    per = _total(per, "first", F.max(F.when(F.col("open"), F.col("level"))), small)  # levels fall from the first open source on
+    return per.select("source", "source_size", F.when(F.col("open"), F.col("w") * F.col("first")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
 def _with(rows: DataFrame, per: DataFrame, small: bool) -> DataFrame:
@@ -90,12 +113,14 @@ def mixed_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int
 
 def _thresholds(narrow: DataFrame, weights: Sequence[float], most: int) -> tuple[int, DataFrame]:
     """How many sources there are; source, source_size, target, _full, _below of each."""
-    per = targets(narrow, weights, most)
+    per = materialize(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    sources, scratch = per.count(), [per]
+    small = sources <= BROADCAST_SOURCES
+    per = targets(per, weights, most, small, scratch)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     state = per.withColumn("_full", full.cast("long")).withColumn("left", F.col("target") - F.col("_full") * F.col("source_size")).withColumn("_below", F.lit(0).cast("long"))
     state = materialize(state, "mix-0")
-    sources = state.count()
-    small = sources <= BROADCAST_SOURCES
+    drop_scratch(*scratch)
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         last = level == LEVELS - 1

@@ -92,6 +92,28 @@ def test_more_sources_than_are_broadcast(spark, monkeypatch):
     assert sorted(tuple(map(str, x)) for x in mixing.mix(docs).collect()) == want and len(want) == 4000
 
 
+def test_targets_of_equal_sources(spark):
+    for sizes in ({c: 100 for c in "abcdefg"}, {"a": 100, "b": 700, "c": 900, "d": 100, "e": 700}):
+        per = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {x.source: x.target for x in mixing.targets(per, (5, 2, 1), 3, True, []).collect()}
+        assert got == {s: pytest.approx(t) for s, t in fill(sizes, (5, 2, 1), 3).items()}
+
+
+def test_targets_by_ranges(spark):
+    r = random.Random(8)
+    sizes = {None: 70, "hot": 90_000, **{f"{chr(97 + i % 26)}{i}": r.choice([0, 1, 3, 50, 900]) for i in range(700)}}
+    per = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(4)
+    want, ranges = fill(sizes, (5, 2, 1), 3), []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for small in (True, False):
+            got = {x.source: x.target for x in mixing.targets(per, (5, 2, 1), 3, small, ranges).collect()}
+            assert got == {s: pytest.approx(t) for s, t in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) == 2 and all(x.select("_range").distinct().count() > 1 for x in ranges)
+
+
 def test_statistics(spark):
     r = random.Random(9)
     texts = [None, "", " \t\n", "one", "a b c d e f g h", "a b c d e f g h a b c d e f g h", "x " * 40, "l\nl\n \n \nl", "é ü #$% <a>|&*", "𝒳𝒴 word"]
