@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from geoloom.llm import lm_scoring
@@ -33,3 +36,25 @@ def test_every_word_counts_by_itself(spark, monkeypatch):
         want = (np.mean([near(p) for p in pairs]), np.mean([far(p) for p in pairs])) if pairs else (0, 0)
         x = got[i]
         assert x.n_tokens == len(pairs) and (x.target_loss, x.background_loss) == pytest.approx(want, abs=1e-9) and x.score == pytest.approx(want[0] - want[1], abs=1e-9)
+
+
+def test_a_block_needs_little_memory():
+    """300 000 words: what a worker holds beside the words at once stays below 80 bytes a word."""
+    r = np.random.default_rng(5)
+    words = " ".join(f"w{i}" for i in (60_000 * r.random(300_000) ** 3).astype(int)).encode()
+    tracemalloc.start()
+    lm_scoring._pairs([100_000, 0, 200_000], [0, 5, 7], words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * 300_000
+
+
+def test_blocks_lie_apart(spark, monkeypatch):
+    """Each block is a file of its own: no reader or writer holds the words of several."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 100)
+    at = []
+    monkeypatch.setattr(lm_scoring, "scratch_path", lambda s, name, f=lm_scoring.scratch_path: at.append((name, f(s, name))) or at[-1][1])
+    docs = spark.createDataFrame([(i, f"a b{i} c d e " * 10) for i in range(40)], "doc_id long, text string").coalesce(1)
+    assert lm_scoring.score_documents(docs, docs.select("doc_id").limit(3)).count() == 40
+    files = [p for p in Path(dict(at)["lm-blocks"].removeprefix("file:")).rglob("*.parquet")]
+    assert len(files) == 20 and {pq.ParquetFile(p).metadata.num_rows for p in files} == {1}
