@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,19 @@ def varint_length(u: Column) -> Column:
     return F.floor((bits + 6) / 7).cast("int")
 
 
+def varint_length_product(a: Column, b: Column, c: Column) -> Column:
+    """Bytes of the base-128 coding of a * b * c: varint_length() of a long, and past a long as many as the exact product has.
+
+    A product of 10^38 and more is an error.
+    """
+    a, b, c = (x.cast("decimal(19,0)") for x in (a, b, c))
+    wide = (a * b).cast("decimal(38,0)") * c
+    narrow = F.when(wide.between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1))), wide).cast("long")
+    high = F.call_function("div", wide, F.lit(Decimal(2**64)))
+    bits = F.lit(64) + F.when(high == 0, F.lit(0)).otherwise(F.length(F.bin(high)))
+    return F.when(wide.isNull() | narrow.isNotNull(), varint_length(narrow)).when(wide < 0, F.lit(10)).otherwise(F.floor((bits + 6) / 7)).cast("int")
+
+
 def delta(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """df with out: value less the one before in its group, the first less 0."""
     w = Window.partitionBy(*group).orderBy(*order)
