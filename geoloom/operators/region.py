@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.operators import slabs
 from geoloom.scratch import materialize
 
 #: Bits of a band's height: 4 194 304 units, 0.42 degrees.
 BAND_BITS = 22
 #: What it costs to make a piece of a segment, in tests of a point with a piece.
 PIECE_COST = 3
+#: Pieces and tests from which on slabs are taken, if there are few paths: rows for each are too many then.
+MANY_PIECES = 20_000_000
 #: Rows and columns of a grid are at most 2 to this power: below a unit there is nothing to tell apart.
 MOST_BITS = 30
 
@@ -107,6 +110,19 @@ def _passed(pieces: DataFrame, grid: Grid) -> DataFrame:
     return out.where("rank % 2 = 1 and left < end").select("path_id", "row", "y", "left", "end")
 
 
+def in_slabs(seg: DataFrame, points: int) -> bool:
+    """Whether so many points meet so many segments of so few paths that slabs are cheaper than cells: they do little for
+    each piece and test, but something for each point and path."""
+    side = F.greatest(F.col("y2") - F.col("y1"), F.abs(F.col("x2") - F.col("x1")))
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    s = seg.agg(F.count("*").alias("n"), F.approx_count_distinct("path_id").alias("paths"), F.avg(side).alias("side"), F.max(F.greatest(*map(F.abs, ends))).alias("far"),
+                F.greatest(F.max("y2") - F.min("y1"), F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("size")).first()
+    if not s.n or s.far >= slabs.LARGEST:
+        return False
+    pieces = 2 * s.n * math.sqrt(points * max(s.side, 1.0) / max(s.size, 1) / PIECE_COST)
+    return pieces > MANY_PIECES and s.paths * points < pieces
+
+
 def points_in_polygons(points: DataFrame, seg: DataFrame, key: str, grid: Grid | None = None) -> DataFrame:
     """path_id and key of the points (key, pos_x, pos_y) that lie in a path's polygon, by the parity of crossings.
 
@@ -119,7 +135,11 @@ def points_in_polygons(points: DataFrame, seg: DataFrame, key: str, grid: Grid |
     """
     spark = points.sparkSession
     seg = materialize(seg.where("y1 < y2"), "polygon-segments")
-    grid = grid or Grid.over(seg, points.count())
+    if grid is None:
+        n = points.count()
+        if in_slabs(seg, n):
+            return slabs.points_in_polygons(points, seg, key, n)
+        grid = Grid.over(seg, n)
     # few bytes make very many pieces: all tasks make them, whatever the bytes
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pieces = _pieces(seg.repartition(tasks, "path_id", "pos"), grid)
